@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,15 @@ def get_session(app: str = "claimweave", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the cluster names none (local tests) a fresh folder is made and
-    remembered in the session, so that every later call agrees on it.
+    Only where the session names none (local tests) one fresh folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    return configured or _own_dir()
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
