@@ -202,9 +202,10 @@ def definition_digest(classes: DataFrame, relations: DataFrame) -> DataFrame:
             F.struct("relation_id", F.array_sort("domain").alias("domain"), F.array_sort("range").alias("range"), "requires_evidence")
         )
     )
-    left = classes.agg(class_rows.alias("classes"))
-    right = relations.agg(relation_rows.alias("relations"))
-    return left.join(right).select(canonical_hash(classes=F.col("classes"), relations=F.col("relations")).alias("digest"))
+    parts = classes.agg(canonical_hash(classes=class_rows).alias("part")).unionByName(
+        relations.agg(canonical_hash(relations=relation_rows).alias("part"))
+    )
+    return parts.agg(F.sha2(F.concat_ws(":", F.array_sort(F.collect_list("part"))), 256).alias("digest"))
 
 
 def crosswalk(df: DataFrame, mapping: DataFrame, target_system: str) -> tuple[DataFrame, DataFrame]:
