@@ -114,15 +114,33 @@ def approximate_profile(df: DataFrame, artifact: str, columns: Sequence[str]) ->
     return df.agg(F.array(*measures).alias("c")).select(F.lit(artifact).alias("artifact"), F.inline("c"))
 
 
-def schema_fingerprint(profiles: DataFrame) -> DataFrame:
-    """One digest over (artifact, column, types), independent of values and order.
+def column_types(df: DataFrame, artifact: str) -> DataFrame:
+    """Type per column in one pass: ``null`` when every value is missing."""
+    cells = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        filled = column.isNotNull()
+        if isinstance(field.dataType, T.StringType):
+            filled = filled & (column != "")
+        cells.append(
+            F.struct(
+                F.lit(field.name).alias("column_name"),
+                F.when(F.bool_or(filled), F.lit(primitive_type(field.dataType)))
+                .otherwise(F.lit("null"))
+                .alias("inferred_types"),
+            )
+        )
+    return df.agg(F.array(*cells).alias("c")).select(F.lit(artifact).alias("artifact"), F.inline("c"))
+
+
+def schema_fingerprint(profiles: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Digest over (artifact, column, types), independent of values and order.
 
     A profile has one row per column, bounded by the column limit of the ingest
     policy, so its sorted list is a small value.
     """
     column = F.struct("artifact", "column_name", "inferred_types")
-    return profiles.agg(
-        F.countDistinct("artifact").alias("artifacts"),
+    return profiles.groupBy(*by).agg(
         F.count(F.lit(1)).alias("columns"),
         canonical_hash(columns=F.array_sort(F.collect_list(column))).alias("fingerprint"),
     )

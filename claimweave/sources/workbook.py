@@ -105,24 +105,28 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=columns)
 
 
-def read_workbooks(spark: SparkSession, path: str, max_bytes: int = 1_000_000_000) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)`` over all workbooks of a folder; cells are text keyed by header.
+def scan_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of workbooks given as ``path, content``; cells are text keyed by header.
 
-    Workbooks are distributed by file; only the unpacking of one file is Python.
+    Spark distributes the workbooks; only the unpacking of one file is Python.
     """
+    scanned = files.select("path", "content").mapInPandas(_scan, SCHEMA)
+    return (
+        scanned.filter(F.col("error").isNull()).drop("error"),
+        scanned.filter(F.col("error").isNotNull()).select("file", F.array("error").alias("violations")),
+    )
+
+
+def read_workbooks(spark: SparkSession, path: str, max_bytes: int = 1_000_000_000) -> tuple[DataFrame, DataFrame]:
+    """All workbooks below a folder; files beyond the size limit are filtered before they are read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.xlsx")
         .option("recursiveFileLookup", "true")
         .load(path)
         .filter(F.col("length") <= max_bytes)
-        .select("path", "content")
-    )
-    scanned = files.mapInPandas(_scan, SCHEMA)
-    return (
-        scanned.filter(F.col("error").isNull()).drop("error"),
-        scanned.filter(F.col("error").isNotNull()).select("file", F.array("error").alias("violations")),
     )
+    return scan_workbooks(files)
 
 
 def sheet_table(rows: DataFrame, sheet: str, columns: list[str]) -> DataFrame:

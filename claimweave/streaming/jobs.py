@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from claimweave.operators.chains import append_chain
-from claimweave.operators.outbox import KEY, new_tasks
+from claimweave.operators.outbox import new_tasks
 from claimweave.operators.scale import first_per_group
 
 Step = Callable[[DataFrame, DataFrame | None], DataFrame]
@@ -120,5 +120,3 @@ def stream_decisions(
 
     return incremental(_file_stream(spark, path, schema, fmt, files_per_trigger), table, checkpoint, output, step)
 
-
-__all__ = ["KEY", "incremental", "stored", "stream_decisions", "stream_ingest", "stream_outbox"]
