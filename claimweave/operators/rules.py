@@ -210,6 +210,15 @@ def evaluate_rules(
     return findings.drop("rule_index"), _lineage(matched, findings)
 
 
+def _cited_items(kind: str, name: str) -> Column:
+    return F.transform(
+        F.coalesce(name, F.array().cast("array<string>")),
+        lambda item, position: F.struct(
+            F.lit(kind).alias("kind"), item.alias("item_id"), position.alias("position")
+        ),
+    )
+
+
 def _lineage(matched: DataFrame, findings: DataFrame) -> DataFrame:
     """``(finding_id, kind, item_id, first_confidence, first_assertion, first_position)``.
 
@@ -221,15 +230,8 @@ def _lineage(matched: DataFrame, findings: DataFrame) -> DataFrame:
             F.struct(F.lit("assertion").alias("kind"), F.col("assertion_id").alias("item_id"), F.lit(0).alias("position")),
             F.struct(F.lit("subject").alias("kind"), F.col("subject_id").alias("item_id"), F.lit(0).alias("position")),
         ),
-        *[
-            F.transform(
-                F.coalesce(name, F.array().cast("array<string>")),
-                lambda item, position, kind=kind: F.struct(
-                    F.lit(kind).alias("kind"), item.alias("item_id"), position.alias("position")
-                ),
-            )
-            for kind, name in (("evidence", "evidence_ids"), ("contradicting", "contradicting_evidence_ids"))
-        ],
+        _cited_items("evidence", "evidence_ids"),
+        _cited_items("contradicting", "contradicting_evidence_ids"),
     )
     items = matched.select("case_id", "rule_index", "confidence", "assertion_id", F.explode(cited).alias("_cited"))
     first = items.groupBy("case_id", "rule_index", "_cited.kind", "_cited.item_id").agg(
