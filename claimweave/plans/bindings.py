@@ -164,8 +164,12 @@ EVENT_DISPOSITION = {
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enriched(table(spark, sf_dir, "events"))
+
+
+def enriched(source: DataFrame) -> DataFrame:
     """Events with the number ``k`` of their properties and the whole part of their value."""
-    return table(spark, sf_dir, "events").select(
+    return source.select(
         "event_id",
         "ts",
         "user_id",
@@ -182,7 +186,7 @@ EVENTS_SQL = """ev AS (
          CAST(floor(value) AS BIGINT) AS whole, props FROM events)"""
 
 
-def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_findings(source: DataFrame) -> DataFrame:
     """One finding per event; equal ones (fingerprint) occur several times per user."""
     none = F.array().cast("array<string>")
     kind, k, whole = F.col("event_type"), F.col("k"), F.col("whole")
@@ -190,7 +194,7 @@ def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     change = kind.isin("purchase", "signup") | ((kind == "click") & (k >= 50))
     unknown = k.between(90, 94)
     impact = F.when(~unknown, F.when(k >= 95, -whole * 10_000).otherwise(whole * 10_000))
-    rows = events(spark, sf_dir).select(
+    rows = enriched(source).select(
         "event_id",
         "user_id",
         "event_type",
@@ -324,8 +328,11 @@ ITEM_COLUMNS = [
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified event findings with duplicates consolidated; the plan is the user."""
-    items = classify(event_findings(spark, sf_dir), POLICY).select(*ITEM_COLUMNS)
-    return consolidate(items, ["user_id", "fingerprint"])
+    return consolidate(classified_events(table(spark, sf_dir, "events")), ["user_id", "fingerprint"])
+
+
+def classified_events(source: DataFrame) -> DataFrame:
+    return classify(event_findings(source), POLICY).select(*ITEM_COLUMNS)
 
 
 def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions.canonical import dataset_fingerprint
@@ -25,7 +25,7 @@ def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity > region > nation > customer or supplier."""
     none = F.lit(None).cast("string")
 
-    def level(df: DataFrame, class_id: F.Column, parent: F.Column, abstract: bool) -> DataFrame:
+    def level(df: DataFrame, class_id: Column, parent: Column, abstract: bool) -> DataFrame:
         return df.select(class_id.alias("class_id"), parent.alias("parent"), F.lit(abstract).alias("abstract"), none.alias("value_set"))
 
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
