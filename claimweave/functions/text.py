@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: ISO offset at the end of a timestamp string.
-OFFSET = r"(Z|[+-]\d{2}:?\d{2})$"
+# The characters that count as whitespace around a value.
+WHITESPACE = (
+    " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(code) for code in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
 DIGEST = r"^[0-9a-f]{64}$"
 IDENTIFIER = r"^[A-Za-z0-9._-]{1,128}$"
 
 
 def strip(value: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind (plain ``trim`` only removes spaces)."""
+    return F.btrim(value, F.lit(WHITESPACE))
 
 
 def is_blank(value: Column) -> Column:
@@ -21,41 +25,42 @@ def is_blank(value: Column) -> Column:
 
 
 def iso_from_ntz(local: Column, offset: Column) -> Column:
-    """ISO text of a wall-clock time: microseconds only when they are not zero."""
-    text = local.cast("string")
-    seconds = F.replace(F.substring_index(text, ".", 1), F.lit(" "), F.lit("T"))
-    fraction = F.when(
-        F.instr(text, ".") > 0,
-        F.concat(F.lit("."), F.rpad(F.substring_index(text, ".", -1), 6, "0")),
-    ).otherwise(F.lit(""))
-    return F.concat(seconds, fraction, offset)
-
-
-def normal_offset(raw: Column) -> Column:
-    """``Z`` and ``+0200`` as ``+00:00`` and ``+02:00``; empty when there is none."""
-    found = F.regexp_extract(raw, OFFSET, 1)
-    digits = F.replace(found, F.lit(":"), F.lit(""))
-    return (
-        F.when(found == "Z", F.lit("+00:00"))
-        .when(found == "", F.lit(""))
-        .otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.substring(digits, 4, 2)))
-    )
+    """ISO text of a wall-clock time: microseconds only when they are not zero.
+
+    Null when either part is null.  Formatting goes through the session zone,
+    which the sessions here set to UTC.
+    """
+    text = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.replace(text, F.lit(".000000"), F.lit("")), offset)
+
+
+def own_offset(raw: Column) -> Column:
+    """Offset at the end of a text as ``+hh:mm``, or null when there is none."""
+    spelled = F.replace(raw, F.lit("Z"), F.lit("+00:00"))
+    hours = F.regexp_extract(spelled, r"([+-]\d{2}):?\d{2}$", 1)
+    return F.when(hours != "", F.concat(hours, F.lit(":"), F.right(spelled, F.lit(2))))
 
 
-def parse_wall_clock(raw: Column) -> Column:
+def without_offset(raw: Column) -> Column:
+    return F.regexp_replace(raw, r"(Z|[+-]\d{2}:?\d{2})$", "")
+
+
+def wall_clock(raw: Column) -> Column:
     """The timestamp without its offset, or null when it is not a time."""
-    return F.regexp_replace(raw, OFFSET, "").try_cast("timestamp_ntz")
+    return without_offset(raw).try_cast("timestamp_ntz")
 
 
 def iso_datetime(raw: Column) -> tuple[Column, Column]:
-    """``(iso text, error)``: the offset is mandatory and kept."""
-    local = parse_wall_clock(raw)
-    offset = normal_offset(raw)
-    error = (
-        F.when(is_blank(raw) | local.isNull(), F.lit("must be an ISO 8601 datetime"))
-        .when(offset == "", F.lit("must include an explicit UTC offset"))
+    """``(iso text, error)``: the offset is mandatory and kept.
+
+    The error is derived from the value, so that the parts of a good row are not
+    parsed a second time.
+    """
+    value = iso_from_ntz(wall_clock(raw), own_offset(raw))
+    reason = F.when(wall_clock(raw).isNull(), F.lit("must be an ISO 8601 datetime")).otherwise(
+        F.lit("must include an explicit UTC offset")
     )
-    return F.when(error.isNull(), iso_from_ntz(local, offset)), error
+    return value, F.when(value.isNull(), reason)
 
 
 def instant(iso: Column) -> Column:
@@ -66,12 +71,5 @@ def instant(iso: Column) -> Column:
 def offset_of_zone(local: Column, zone: str) -> Column:
     """Offset text of an IANA zone at a wall-clock time."""
     utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    minutes = F.timestamp_diff("MINUTE", utc, local)
-    sign = F.when(minutes < 0, F.lit("-")).otherwise(F.lit("+"))
-    size = F.abs(minutes)
-    return F.concat(
-        sign,
-        F.lpad(F.floor(size / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((size % 60).cast("string"), 2, "0"),
-    )
+    shift = F.regexp_replace((local - utc).cast("string"), r"^.*'(-?)0 (\d{2}:\d{2}).*$", "$1$2")
+    return F.replace(F.concat(F.lit("+"), shift), F.lit("+-"), F.lit("-"))
