@@ -7,7 +7,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.functions.canonical import canonical_hash
 from claimweave.operators.scale import count_per_key, reasons, split_rejects
 
 
@@ -75,17 +74,16 @@ def attach_collections(claims: DataFrame, collections: Mapping[str, DataFrame],
 def dedup_or_conflict(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Equal rows with one id collapse; ids with differing rows are rejects.
 
-    Rows are compared by digest: smallest and largest digest agree exactly when
-    all do, and both aggregates combine map-side whatever the number of copies.
+    The smallest and the largest row of an id are equal exactly when all its
+    rows are.  Both are map-side aggregates, so any number of copies of one id
+    costs one row per task, and the surviving row needs no second join.
     """
     rest = [name for name in df.columns if name not in keys]
-    digested = df.withColumn("_digest", canonical_hash(**{name: F.col(f"`{name}`") for name in rest}))
-    verdict = digested.groupBy(*keys).agg(
-        F.min("_digest").alias("_digest"),
-        (F.min("_digest") != F.max("_digest")).alias("_conflict"),
-        F.count(F.lit(1)).alias("copies"),
+    row = F.struct(*rest)
+    verdict = df.groupBy(*keys).agg(
+        F.min(row).alias("_low"), F.max(row).alias("_high"), F.count(F.lit(1)).alias("copies")
     )
-    conflicts = verdict.filter("_conflict").select(*keys, "copies", F.array(F.lit("conflicting_rows")).alias("violations"))
-    agreed = verdict.filter(~F.col("_conflict")).select(*keys, "_digest")
-    ok = digested.dropDuplicates([*keys, "_digest"]).join(agreed, [*keys, "_digest"], "left_semi").drop("_digest")
-    return ok.select(*df.columns), conflicts
+    agreed = F.col("_low").eqNullSafe(F.col("_high"))
+    ok = verdict.filter(agreed).select(*keys, "_low.*").select(*df.columns)
+    conflicts = verdict.filter(~agreed).select(*keys, "copies", F.array(F.lit("conflicting_rows")).alias("violations"))
+    return ok, conflicts

@@ -22,9 +22,11 @@ from claimweave.functions.transforms import (
 )
 from claimweave.operators.attach import attach_children, attach_collections, collect_codes, dedup_or_conflict
 from claimweave.operators.scale import count_per_key, reasons
+from claimweave.session import materialize
 
 RUNTIME_VERSION = "1.0.0"
 EXECUTABLE = ("approved", "approved-for-demo")
+OUTPUTS = ("cases", "documents", "claims", "structured")
 
 
 def _errors(columns: Mapping[str, Compiled]) -> Column:
@@ -42,14 +44,31 @@ def project_rows(
     df: DataFrame, columns: Mapping[str, Compiled], keep: Sequence[str] = ("_row_number",)
 ) -> tuple[DataFrame, DataFrame]:
     """Evaluate compiled expressions; rows with errors become rejects with all of them."""
+    return _split(_projected(df, columns, keep))
+
+
+def _projected(df: DataFrame, columns: Mapping[str, Compiled], keep: Sequence[str]) -> DataFrame:
     kept = [name for name in keep if name in df.columns]
-    projected = df.select(*kept, *[item.value.alias(name) for name, item in columns.items()], _errors(columns).alias("violations"))
+    values = [item.value.alias(name) for name, item in columns.items()]
+    return df.select(*kept, *values, _errors(columns).alias("violations"))
+
+
+def _split(projected: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
         projected.filter(F.size("violations") == 0).drop("violations"),
         projected.filter(F.size("violations") > 0),
     )
 
 
+def _staged_rows(df: DataFrame, columns: Mapping[str, Compiled], name: str) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`project_rows`, with the projected resource written once.
+
+    Several outputs and checks read the rows of a resource; they then scan the
+    stored columns they need and evaluate no expression again.
+    """
+    return _split(materialize(_projected(df, columns, ("_row_number",)), f"mapping-{name}"))
+
+
 def _open_map(fields: Mapping[str, Mapping[str, Any]]) -> Compiled:
     """An open map of expressions as a variant; any failing entry fails the row."""
     compiled = {name: compile_expr(expression) for name, expression in fields.items()}
@@ -146,37 +165,44 @@ def _rejects(resource: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(resource).alias("resource"), row.cast("bigint").alias("row_number"), "violations")
 
 
-def run_mapping(resources: Mapping[str, DataFrame], mapping: Mapping[str, Any], *, as_of: str) -> dict[str, DataFrame]:
-    """Tables ``cases, documents, claims, evidence, entities, relations, assertions, report, rejects``.
+def run_mapping(
+    resources: Mapping[str, DataFrame], mapping: Mapping[str, Any], *, as_of: str, outputs: Sequence[str] = OUTPUTS
+) -> dict[str, DataFrame]:
+    """Tables ``cases, documents, claims, evidence, entities, relations, assertions`` and ``rejects``.
 
-    Every table is keyed by ``encounter_id``.  The whole run is one lazy plan per
-    output; a row that fails, or whose parent failed, appears in ``rejects``.
+    Every table is keyed by ``encounter_id``.  A row that fails, or whose parent
+    failed, appears in ``rejects``.  ``outputs`` names the parts to build (the
+    four structured tables are ``structured``); resources of other parts are not
+    read.  With all parts a ``report`` counts inputs and outputs.
     """
     if mapping["status"] not in EXECUTABLE:
         raise ValueError("mapping must be approved before it runs")
-    rejects: list[DataFrame] = []
-    cases, case_rejects = _encounters(resources, mapping, as_of)
-    rejects.append(case_rejects)
+    cases, rejects = _encounters(resources, mapping, as_of)
     known = cases.select("encounter_id")
-    documents, found = _documents(resources, mapping, known)
-    rejects += found
-    claims, found = _claims(resources, mapping, known)
-    rejects += found
-    tables, found = _projections(resources, mapping, known)
-    rejects += found
-    outputs = {"cases": cases, "documents": documents, "claims": claims, **tables}
-    outputs["rejects"] = reduce(lambda a, b: a.unionByName(b), rejects)
-    outputs["report"] = run_report({**resources}, outputs)
-    return outputs
-
-
-def _encounters(resources, mapping, as_of) -> tuple[DataFrame, DataFrame]:
+    tables = {"cases": cases}
+    if "documents" in outputs:
+        tables["documents"], found = _documents(resources, mapping, known)
+        rejects += found
+    if "claims" in outputs:
+        tables["claims"], found = _claims(resources, mapping, known)
+        rejects += found
+    if "structured" in outputs:
+        structured, found = _projections(resources, mapping, known)
+        tables |= structured
+        rejects += found
+    tables["rejects"] = reduce(lambda a, b: a.unionByName(b), rejects)
+    if set(outputs) == set(OUTPUTS):
+        tables["report"] = run_report(resources, tables)
+    return tables
+
+
+def _encounters(resources, mapping, as_of) -> tuple[DataFrame, list[DataFrame]]:
     binding = mapping["encounter"]
     source = row_filter(resources[binding["resource"]], binding.get("where", ()))
     columns = {name: required_string(binding[name]) for name in ("case_id", "patient_id", "encounter_id")}
     columns |= {name: required_datetime(binding[name]) for name in ("admitted_at", "discharged_at")}
     columns["metadata"] = _open_map(binding.get("metadata", {}))
-    rows, bad = project_rows(source, columns)
+    rows, bad = _staged_rows(source, columns, "encounters")
     repeated = count_per_key(rows, ["encounter_id"]).filter("_count > 1").select("encounter_id", F.lit(True).alias("_repeated"))
     checked = rows.join(repeated, "encounter_id", "left").withColumn(
         "violations",
@@ -196,7 +222,7 @@ def _encounters(resources, mapping, as_of) -> tuple[DataFrame, DataFrame]:
     name = binding["resource"]
     return (
         ok.withColumn("ingestion_provenance", provenance),
-        _rejects(name, bad).unionByName(_rejects(name, checked.filter(F.size("violations") > 0))),
+        [_rejects(name, bad), _rejects(name, checked.filter(F.size("violations") > 0))],
     )
 
 
@@ -207,7 +233,7 @@ def _documents(resources, mapping, known) -> tuple[DataFrame, list[DataFrame]]:
         columns = {name: required_string(binding[name]) for name in ("encounter_id", "document_id", "author_role")}
         columns["recorded_at"] = required_datetime(binding["recorded_at"])
         columns["text"] = required_string(binding["text"])
-        rows, bad = project_rows(source, columns)
+        rows, bad = _staged_rows(source, columns, "documents")
         parts.append(rows)
         rejects.append(_rejects(binding["resource"], bad))
     if not parts:
@@ -229,7 +255,7 @@ def _claims(resources, mapping, known) -> tuple[DataFrame, list[DataFrame]]:
         columns["allowed_amount_cents"] = Compiled(amount.value, F.coalesce(amount.error, negative), amount.fields)
     else:
         columns["allowed_amount_cents"] = _constant(None, "bigint")
-    rows, bad = project_rows(source, columns)
+    rows, bad = _staged_rows(source, columns, "claims")
     rejects = [_rejects(binding["resource"], bad)]
     counts = count_per_key(rows, ["encounter_id"], "_claims")
     parents = known.withColumn("_known", F.lit(True))
@@ -252,9 +278,10 @@ def _claims(resources, mapping, known) -> tuple[DataFrame, list[DataFrame]]:
         if not part:
             claims = claims.withColumn(name, F.array().cast("array<string>"))
             continue
-        codes, bad = project_rows(
+        codes, bad = _staged_rows(
             row_filter(resources[part["resource"]], part.get("where", ())),
             {"encounter_id": required_string(part["encounter_id"]), "value": required_string(part["value"])},
+            name,
         )
         orphan = codes.join(known, "encounter_id", "left_anti").withColumn("violations", F.array(F.lit("unknown_encounter")))
         rejects += [_rejects(part["resource"], bad), _rejects(part["resource"], orphan)]
@@ -270,7 +297,7 @@ def _projections(resources, mapping, known) -> tuple[dict[str, DataFrame], list[
         resource = projection["resource"]
         source = row_filter(resources[resource], projection.get("where", ()))
         compiled = _projection_columns(projection)
-        rows, bad = project_rows(source, compiled)
+        rows, bad = _staged_rows(source, compiled, "structured")
         orphan = rows.join(known, "encounter_id", "left_anti").withColumn("violations", F.array(F.lit("unknown_encounter")))
         rejects += [_rejects(resource, bad), _rejects(resource, orphan)]
         rows = rows.join(known, "encounter_id", "left_semi")

@@ -328,7 +328,8 @@ ITEM_COLUMNS = [
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classified event findings with duplicates consolidated; the plan is the user."""
-    return consolidate(classified_events(table(spark, sf_dir, "events")), ["user_id", "fingerprint"])
+    classified = materialize(classified_events(table(spark, sf_dir, "events")), "classified")
+    return consolidate(classified, ["user_id", "fingerprint"])
 
 
 def classified_events(source: DataFrame) -> DataFrame:

@@ -537,7 +537,7 @@ _KNOWN_SQL = """known AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpr
       lower(o_orderpriority) AS priority FROM known""",
 )
 def mapping_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cases = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF)["cases"]
+    cases = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF, outputs=["cases"])["cases"]
     return cases.select(
         "case_id", "patient_id", "encounter_id", "admitted_at", F.try_variant_get("metadata", "$.priority", "string").alias("priority")
     )
@@ -552,7 +552,7 @@ def mapping_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(charges, '') AS charges FROM known LEFT JOIN codes ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'""",
 )
 def mapping_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF)["claims"]
+    claims = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF, outputs=["claims"])["claims"]
     return claims.select("encounter_id", "drg", "allowed_amount_cents", F.concat_ws("|", "charges").alias("charges"))
 
 
@@ -563,7 +563,7 @@ def mapping_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
       CAST(props->>'$.k' AS BIGINT) AS k FROM events WHERE event_type <> 'error' AND user_id IN (SELECT o_orderkey FROM known)""",
 )
 def structured_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assertions = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF)["assertions"]
+    assertions = run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF, outputs=["structured"])["assertions"]
     return assertions.select(
         "encounter_id",
         "assertion_id",
