@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from claimweave.operators.scale import reasons, split_rejects
+from claimweave.session import materialize
 
 ROW_NUMBER = "_row_number"
 #: Rows per resource beyond which a resource is refused.
@@ -26,7 +27,7 @@ def header_violations(header: Column) -> Column:
 
 def parse_header(line: Column) -> Column:
     """Names of a header line; a byte order mark and quotes are removed."""
-    names = F.split(F.regexp_replace(line, "^﻿", ""), ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)")
+    names = F.split(F.regexp_replace(line, "^﻿", ""), _CELL_BREAK)
     return F.transform(names, lambda name: F.replace(F.regexp_replace(name, '^"|"\\s*$', ""), F.lit('""'), F.lit('"')))
 
 
@@ -50,11 +51,13 @@ def read_headers(spark: SparkSession, path: str, glob: str = "*.csv") -> tuple[D
 def number_rows(df: DataFrame, name: str = ROW_NUMBER) -> DataFrame:
     """Dense, 1-based physical row numbers per file (``df`` carries ``_file`` and ``_block``).
 
-    A block is read by one task in order, so the position inside it follows from
-    the row ids, and the blocks before it give the offset.  The offset table has
-    one row per block; no global sort and no single-task window over the rows.
+    The parsed rows are written once with their row ids, so the text is parsed a
+    single time and the ids cannot change between the passes below.  A block is
+    read by one task in order: the position inside it follows from the ids, and
+    the blocks before it give the offset.  The offset table has one row per
+    block; no global sort and no single-task window over the rows.
     """
-    marked = df.withColumn("_id", F.monotonically_increasing_id())
+    marked = materialize(df.withColumn("_id", F.monotonically_increasing_id()), "parsed")
     blocks = marked.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
@@ -82,14 +85,21 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return list(row["header"])
 
 
-def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    """All cells as strings, no inference; an empty cell is ``''`` and short rows end in null.
+_CORRUPT = "_corrupt_record"
+#: Commas outside quotes.
+_CELL_BREAK = ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+
+
+def read_csv_checked(spark: SparkSession, path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: all cells as strings, no inference; rows with too many cells are rejects.
 
-    ``multi_line`` allows line breaks inside quotes at the price of one task per
-    file; plain files can turn it off to be split.
+    An empty cell is ``''`` and the cells a short row lacks are null; the parser
+    reports both as null, so the cells of a record that does not fit the header
+    are counted.  ``multi_line`` allows line breaks inside quotes at the price of
+    one task per file; plain files can turn it off to be split.
     """
     names = csv_header(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _CORRUPT]])
     reader = (
         spark.read.schema(schema)
         .option("header", True)
@@ -97,13 +107,24 @@ def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> Data
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _CORRUPT)
     )
-    return number_rows(_located(reader.csv(path))).drop("_file")
+    numbered = number_rows(_located(reader.csv(path)))
+    cells = F.size(F.split(F.col(_CORRUPT), _CELL_BREAK))
+    counted = numbered.withColumn("_cells", F.coalesce(F.when(F.col(_CORRUPT).isNotNull(), cells), F.lit(len(names))))
+    filled = [
+        F.when(F.col("_cells") > i, F.coalesce(F.col(f"`{name}`"), F.lit(""))).alias(name) for i, name in enumerate(names)
+    ]
+    ok = counted.filter(F.col("_cells") <= len(names)).select(*filled, ROW_NUMBER)
+    rejects = counted.filter(F.col("_cells") > len(names)).select(
+        F.col("_file").alias("file"), ROW_NUMBER, _CORRUPT, F.array(F.lit("too_many_cells")).alias("violations")
+    )
+    return ok, rejects
 
 
-_CORRUPT = "_corrupt_record"
+def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    return read_csv_checked(spark, path, multi_line=multi_line)[0]
 
 
 def _json_schema(spark: SparkSession, path: str, multi_line: bool) -> T.StructType:
