@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.operators.scale import count_per_key, reasons, split_rejects
+from claimweave.operators.scale import count_per_key, reasons, split_checked, split_rejects
 
 # Size limits of one case and of one source bundle.
 CASE_LIMITS = {
@@ -68,6 +68,10 @@ def check_budget(usage: DataFrame, limits: Mapping[str, int]) -> tuple[DataFrame
 
 
 def check_grounding(evidence: DataFrame, documents: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    return split_checked(checked_grounding(evidence, documents, scope))
+
+
+def checked_grounding(evidence: DataFrame, documents: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Evidence must quote its document word for word and keep its metadata.
 
     Both sides carry ``scope`` and ``document_id``; the whole document text is searched.
@@ -82,7 +86,7 @@ def check_grounding(evidence: DataFrame, documents: DataFrame, scope: Sequence[s
     )
     joined = evidence.join(source, [*scope, "document_id"], "left")
     known = F.col("_known").isNotNull()
-    checked = joined.withColumn(
+    return joined.withColumn(
         "violations",
         reasons(
             carries_locator=F.col("source_locator").isNotNull() if "source_locator" in evidence.columns else F.lit(False),
@@ -92,7 +96,6 @@ def check_grounding(evidence: DataFrame, documents: DataFrame, scope: Sequence[s
             not_an_excerpt=known & ~F.contains(F.col("_source"), F.col("text")),
         ),
     ).drop("_role", "_recorded", "_source", "_known")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
 def check_locators(evidence: DataFrame, provenance: DataFrame, scope: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -115,7 +118,7 @@ def check_locators(evidence: DataFrame, provenance: DataFrame, scope: Sequence[s
             ),
         ),
     ).drop("_adapter", "_version", "_known")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def check_assertions(
@@ -147,7 +150,7 @@ def check_assertions(
             unknown_evidence=F.col("_unknown"),
         ),
     ).drop("_repeated", "_unknown", "_subject")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def check_interval(df: DataFrame, start: Column, end: Column) -> tuple[DataFrame, DataFrame]:
@@ -186,4 +189,4 @@ def matching_definitions(runs: DataFrame, definitions: DataFrame) -> tuple[DataF
             digest_mismatch=F.col("_digest").isNotNull() & (F.col("_digest") != F.col("digest")),
         ),
     ).drop("_digest", "_status")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.operators.checks import duplicates, unknown_references
-from claimweave.operators.scale import reasons
+from claimweave.operators.scale import reasons, split_checked
 
 
 def _array_repeats(values: Column) -> Column:
@@ -31,7 +31,7 @@ def check_lines(lines: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
         )
         .drop("_repeated")
     )
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def check_denials(denials: DataFrame, lines: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +55,7 @@ def check_denials(denials: DataFrame, lines: DataFrame, scope: str) -> tuple[Dat
         )
         .drop("_unknown")
     )
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def check_remittances(remittances: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +68,7 @@ def check_remittances(remittances: DataFrame) -> tuple[DataFrame, DataFrame]:
             duplicate_denials=_array_repeats(F.col("denial_ids")),
         ),
     )
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def denied_amounts(denials: DataFrame, scope: str) -> DataFrame:

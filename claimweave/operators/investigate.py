@@ -11,7 +11,7 @@ from claimweave.functions import text
 from claimweave.functions.canonical import canonical_hash, short_id
 from claimweave.functions.codes import apply_change
 from claimweave.operators.checks import duplicates, overlap, unknown_references
-from claimweave.operators.scale import first_per_group, reasons
+from claimweave.operators.scale import first_per_group, reasons, split_checked
 
 # What each hypothesis category proposes, and how it is routed.
 CHANGE_KEY = {
@@ -72,7 +72,17 @@ def validate_hypotheses(
     assertions: DataFrame,
     extra: Sequence[tuple[str, Callable[[], Column]]] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Hypotheses against their packet; every failing check is listed.
+    return split_checked(checked_hypotheses(hypotheses, packets, evidence, assertions, extra))
+
+
+def checked_hypotheses(
+    hypotheses: DataFrame,
+    packets: DataFrame,
+    evidence: DataFrame,
+    assertions: DataFrame,
+    extra: Sequence[tuple[str, Callable[[], Column]]] = (),
+) -> DataFrame:
+    """Hypotheses with the ``violations`` against their packet; every failing check is listed.
 
     ``packets``: ``packet_id, packet_encounter_id, drg``; ``evidence`` and
     ``assertions`` are keyed by ``packet_id``.  ``extra`` adds named checks.
@@ -94,7 +104,7 @@ def validate_hypotheses(
         .join(flag(cited, evidence, "evidence_id", "_no_evidence"), key, "left")
         .join(flag(F.col("assertion_ids"), assertions, "assertion_id", "_no_assertion"), key, "left")
     )
-    checked = joined.withColumn(
+    return joined.withColumn(
         "violations",
         F.concat(
             structural_violations(),
@@ -109,7 +119,6 @@ def validate_hypotheses(
             ),
         ),
     ).drop("_repeated", "_no_evidence", "_no_assertion", "packet_encounter_id", "drg")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
 def check_critiques(critiques: DataFrame, hypotheses: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,7 +140,7 @@ def check_critiques(critiques: DataFrame, hypotheses: DataFrame, evidence: DataF
             unknown_evidence=F.col("_unknown"),
         ),
     ).drop("_known", "_repeated", "_unknown")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def synthesize(hypotheses: DataFrame, critiques: DataFrame) -> DataFrame:
@@ -201,11 +210,9 @@ def promote(hypotheses: DataFrame, cases: DataFrame, price: Callable[[Column], C
     )
 
 
-def investigation_runs(accepted: DataFrame, rejected: DataFrame) -> DataFrame:
+def investigation_runs(checked: DataFrame) -> DataFrame:
     """Accepted and rejected hypotheses per packet."""
-    marked = accepted.select("packet_id", F.lit(1).alias("_ok")).unionByName(
-        rejected.select("packet_id", F.lit(0).alias("_ok"))
-    )
-    return marked.groupBy("packet_id").agg(
-        F.sum("_ok").alias("accepted_count"), F.sum(1 - F.col("_ok")).alias("rejected_count")
+    accepted = F.size("violations") == 0
+    return checked.groupBy("packet_id").agg(
+        F.count_if(accepted).alias("accepted_count"), F.count_if(~accepted).alias("rejected_count")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions.canonical import canonical_hash
 from claimweave.operators.checks import overlap, unknown_references
-from claimweave.operators.scale import reasons, split_rejects
+from claimweave.operators.scale import reasons, split_checked, split_rejects
 from claimweave.session import cut_lineage
 
 #: Levels after which a hierarchy counts as cyclic.
@@ -111,7 +111,7 @@ def check_entities(entities: DataFrame, ontology: Ontology) -> tuple[DataFrame,
             value_not_in_set=F.col("_set").isNotNull() & F.col("_allowed").isNull(),
         ),
     ).drop("_abstract", "_set", "_class", "_allowed")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def check_relations(
@@ -122,6 +122,17 @@ def check_relations(
     closure: DataFrame,
     scope: Sequence[str] = ("case_id",),
 ) -> tuple[DataFrame, DataFrame]:
+    return split_checked(checked_relations(relations, entities, evidence, ontology, closure, scope))
+
+
+def checked_relations(
+    relations: DataFrame,
+    entities: DataFrame,
+    evidence: DataFrame,
+    ontology: Ontology,
+    closure: DataFrame,
+    scope: Sequence[str] = ("case_id",),
+) -> DataFrame:
     """Known predicate, endpoint classes within domain and range, and evidence rules.
 
     A relation end is fine when its class has any allowed class among its
@@ -157,7 +168,7 @@ def check_relations(
         .select(*key, F.lit(True).alias("_unknown"))
         .distinct()
     )
-    checked = typed.join(unknown, key, "left").withColumn(
+    return typed.join(unknown, key, "left").withColumn(
         "violations",
         reasons(
             unknown_endpoint=F.col("_source_type").isNull() | F.col("_target_type").isNull(),
@@ -169,7 +180,6 @@ def check_relations(
             unknown_evidence=F.col("_unknown"),
         ),
     ).drop("_source_type", "_target_type", "_predicate", "_in_domain", "_in_range", "_unknown", "requires_evidence")
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
 
 
 def structural_rows(cases: DataFrame, template: Sequence[Mapping[str, object]], case: str = "case_id") -> DataFrame:

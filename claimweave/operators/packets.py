@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from claimweave.functions import text
 from claimweave.functions.canonical import canonical_hash, multiset_fingerprint, short_id
-from claimweave.operators.scale import SEGMENT_ROWS, previous_in_chain, reasons
+from claimweave.operators.scale import SEGMENT_ROWS, previous_in_chain, reasons, split_checked
 
 PACKET_SCHEMA = "3.0.0"
 AUDIT_SCHEMA = "1.0.0"
@@ -102,7 +102,7 @@ def check_identifiers(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, D
     checked = df.withColumn(
         "violations", reasons(**{f"bad_{name}": ~F.coalesce(F.col(name).rlike(text.IDENTIFIER), F.lit(False)) for name in names})
     )
-    return checked.filter(F.size("violations") == 0).drop("violations"), checked.filter(F.size("violations") > 0)
+    return split_checked(checked)
 
 
 def verify_hash(df: DataFrame, claimed: str, recomputed: Column, name: str = "intact") -> DataFrame:

@@ -68,7 +68,11 @@ def previous_in_chain(
 
 def split_rejects(df: DataFrame, violations: Column) -> tuple[DataFrame, DataFrame]:
     """``(ok, rejects)``; rejects keep every reason that applies to the row."""
-    checked = df.withColumn("violations", violations)
+    return split_checked(df.withColumn("violations", violations))
+
+
+def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(ok, rejects)`` of rows that carry their ``violations``."""
     ok = checked.filter(F.size("violations") == 0).drop("violations")
     return ok, checked.filter(F.size("violations") > 0)
 

@@ -10,8 +10,8 @@ from claimweave.operators.checks import (
     budget_usage,
     check_assertions,
     check_budget,
-    check_grounding,
     check_locators,
+    checked_grounding,
     duplicates,
     overlap,
     unknown_references,
@@ -121,9 +121,8 @@ def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
         stamp,
         F.substring("text", 1, 30).alias("text"),
     )
-    ok, rejects = check_grounding(quoted.unionByName(passages).unionByName(turns), documents, [])
-    grounded = ok.select("evidence_id", F.lit("").alias("violations"))
-    return grounded.unionByName(rejects.select("evidence_id", F.concat_ws("|", "violations").alias("violations")))
+    checked = checked_grounding(quoted.unionByName(passages).unionByName(turns), documents, [])
+    return checked.select("evidence_id", F.concat_ws("|", "violations").alias("violations"))
 
 
 @query(

@@ -9,12 +9,13 @@ from claimweave.functions.codes import group_and_price
 from claimweave.operators.governance import AccessPolicy, access_violations, promotable, retention_violations
 from claimweave.operators.investigate import (
     check_critiques,
+    checked_hypotheses,
     investigation_runs,
     promote,
     synthesize,
-    validate_hypotheses,
 )
 from claimweave.operators.metrics import evaluate, prediction_key
+from claimweave.operators.scale import split_checked
 from claimweave.plans.bindings import EVENTS_SQL, choose, choose_sql, events, table, text_id
 from claimweave.plans.registry import query
 from claimweave.plans.rules import SEGMENT_CODE, group_sql, price_sql
@@ -81,8 +82,8 @@ def _assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _validated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return validate_hypotheses(
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checked_hypotheses(
         hypotheses(spark, sf_dir), _packets(spark, sf_dir), _evidence(spark, sf_dir), _assertions(spark, sf_dir)
     )
 
@@ -114,7 +115,7 @@ checked AS (SELECT h.*, p.drg, p.diagnoses, concat_ws('|',
     f"WITH {_HYPOTHESES_SQL} SELECT 'H-' || event_id AS hypothesis_id, violations FROM checked WHERE violations <> ''",
 )
 def hypothesis_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, rejects = _validated(spark, sf_dir)
+    _, rejects = split_checked(_checked(spark, sf_dir))
     return rejects.select("hypothesis_id", F.concat_ws("|", "violations").alias("violations"))
 
 
@@ -124,7 +125,7 @@ def hypothesis_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (violations <> '') AS rejected_count FROM checked GROUP BY user_id""",
 )
 def rejected_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return investigation_runs(*_validated(spark, sf_dir))
+    return investigation_runs(_checked(spark, sf_dir))
 
 
 @query(
@@ -142,7 +143,7 @@ def rejected_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def hypothesis_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted hypotheses as findings, simulated against the claim of their packet."""
-    ok, _ = _validated(spark, sf_dir)
+    ok, _ = split_checked(_checked(spark, sf_dir))
     findings = promote(ok, _packets(spark, sf_dir), lambda claim: group_and_price(claim["diagnoses"]))
     return findings.select(
         "hypothesis_id",

@@ -10,7 +10,7 @@ from claimweave.operators.ontology import (
     Ontology,
     check_definition,
     check_entities,
-    check_relations,
+    checked_relations,
     class_closure,
     crosswalk,
     definition_digest,
@@ -19,6 +19,7 @@ from claimweave.operators.ontology import (
 )
 from claimweave.plans.bindings import table, text_id
 from claimweave.plans.registry import query
+from claimweave.session import materialize
 
 
 def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def class_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(class_id.alias("class_id"), parent.alias("parent"), F.lit(abstract).alias("abstract"), none.alias("value_set"))
 
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    root = level(region.limit(1), F.lit("Entity"), none, True)
+    root = level(spark.range(1), F.lit("Entity"), none, True)
     regions = level(region, text_id("R-", "r_regionkey"), F.lit("Entity"), True)
     nations = level(nation, text_id("N-", "n_nationkey"), text_id("R-", "n_regionkey"), False)
     customers = level(table(spark, sf_dir, "customer"), text_id("C-", "c_custkey"), text_id("N-", "c_nationkey"), False)
@@ -111,13 +112,11 @@ def relation_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
         text_id("C-", "c_custkey").alias("entity_id"), text_id("N-", "c_nationkey").alias("entity_type")
     )
     evidence = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(text_id("O-", "o_orderkey").alias("evidence_id"))
-    classes = class_tree(spark, sf_dir).filter(~F.col("class_id").rlike("^[CS]-"))
+    classes = materialize(class_tree(spark, sf_dir).filter(~F.col("class_id").rlike("^[CS]-")), "classes")
+    closure = materialize(class_closure(classes, levels=2), "closure")
     ontology = Ontology(classes, _relations(spark), spark.createDataFrame([], "value_set string, value string"))
-    ok, rejects = check_relations(
-        relations, suppliers.unionByName(customers), evidence, ontology, class_closure(classes, levels=2), scope=[]
-    )
-    good = ok.select("relation_id", "predicate", F.lit("").alias("violations"))
-    return good.unionByName(rejects.select("relation_id", "predicate", F.concat_ws("|", "violations").alias("violations")))
+    checked = checked_relations(relations, suppliers.unionByName(customers), evidence, ontology, closure, scope=[])
+    return checked.select("relation_id", "predicate", F.concat_ws("|", "violations").alias("violations"))
 
 
 @query(

@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where the session names none (local tests) one fresh folder is made.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return configured or _own_dir()
 
 

@@ -18,9 +18,12 @@ TABLES = (
 ).split()
 
 
+DIGITS = 17
+
+
 def normal(value):
     if isinstance(value, float):
-        return f"{value:.9g}"
+        return f"{value:.{DIGITS}g}"
     if hasattr(value, "isoformat"):
         return value.isoformat()
     return repr(value) if isinstance(value, str) else str(value)
