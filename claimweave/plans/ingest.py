@@ -176,10 +176,10 @@ def row_filter_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "transform_text",
-    """SELECT c_custkey, lower(c_name) AS name, NULL AS name_error, upper(nullif(c_mktsegment, 'BUILDING')) AS segment,
+    """SELECT c_custkey, lower(c_name) AS name, CAST(NULL AS VARCHAR) AS name_error, upper(nullif(c_mktsegment, 'BUILDING')) AS segment,
       CASE WHEN c_mktsegment = 'BUILDING' THEN 'requires a string value' END AS segment_error,
-      c_name || ':' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'None') || '!' AS label, NULL AS label_error,
-      'fixed' AS kind, NULL AS kind_error FROM customer""",
+      c_name || ':' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'None') || '!' AS label, CAST(NULL AS VARCHAR) AS label_error,
+      'fixed' AS kind, CAST(NULL AS VARCHAR) AS kind_error FROM customer""",
 )
 def transform_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "customer").select(
@@ -244,7 +244,7 @@ def transform_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00'
         WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00' END AS at,
       CASE WHEN o_orderstatus = 'P' THEN 'naive datetime; configure a timezone' END AS at_error,
-      strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS local, NULL AS local_error FROM orders""",
+      strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS local, CAST(NULL AS VARCHAR) AS local_error FROM orders""",
 )
 def transform_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
     date, status = F.col("o_orderdate"), F.col("o_orderstatus")

@@ -10,7 +10,7 @@ from claimweave.functions.canonical import canonical_hash
 from claimweave.plans.bindings import EVENT_FINDINGS_SQL, EVENTS_SQL, classified_events, classify_sql, enriched, table, text_id
 from claimweave.plans.registry import query
 from claimweave.plans.workflow import CHAIN_FOLD_SQL, tasks_of, tasks_sql
-from claimweave.session import scratch_path
+from claimweave.session import materialize, scratch_path
 from claimweave.streaming import stream_decisions, stream_ingest, stream_outbox
 from claimweave.streaming.jobs import stored
 
@@ -52,7 +52,8 @@ def stream_ingest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tasks(batch: DataFrame) -> DataFrame:
-    return tasks_of(classified_events(batch))
+    """Route tasks of a batch; the classified batch is stored, as it is read for checks and tasks."""
+    return tasks_of(materialize(classified_events(batch), "classified"))
 
 
 @query(
@@ -61,7 +62,7 @@ def _tasks(batch: DataFrame) -> DataFrame:
     SELECT route_id, automation_id, queue, action FROM tasks""",
 )
 def stream_outbox_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    output = _tasks(table(spark, sf_dir, "events")).schema
+    output = _tasks(table(spark, sf_dir, "events").limit(0)).schema
     rows = _run(spark, sf_dir, lambda *a, **o: stream_outbox(*a, _tasks, output, **o), output, "stream-outbox")
     return rows.select("route_id", "automation_id", "queue", "action")
 
