@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimweave.llm import orc_tokens, packing, token_counts
+from claimweave.llm import curriculum, orc_tokens, packing, repetition, token_counts
 from claimweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(documents(spark, sf_dir))
+    first = F.get(F.col("positions"), F.lit(0)).alias("first_position")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", first)
+
+
+@query
+def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.quality(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER))
