@@ -17,9 +17,10 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimweave.llm.filters import KeyFilter
 from claimweave.llm.tokens import steps
 from claimweave.llm.words import Batch, covered, mix, rolling_hashes, word_hashes, words
 from claimweave.session import materialize
@@ -28,9 +29,6 @@ WINDOW_WORDS = 35
 PAIR_ROUNDS = 5
 #: Words that one symbol may stand for.
 SYMBOL_WORDS = 16
-#: Bits of a filter of anchors at most (fixed bound of what is broadcast: 32 MB), and bits per anchor below that.
-FILTER_BITS = 1 << 28
-BITS_PER_KEY = 16
 #: An anchor that occurs more often is hot: its windows are counted before they are joined.
 HOT = 10_000
 
@@ -118,38 +116,6 @@ def _first_maximum(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
     return out
 
 
-def _places(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Three places of every key in a filter of a power of two bits."""
-    one, two = mix(keys + _U(7)), mix(keys + _U(13)) | _U(1)
-    return [((one + _U(i) * two) & _U(bits - 1)).astype(np.int64) for i in range(3)]
-
-
-def _filter(spark: SparkSession, keys: DataFrame, count: int):
-    """Bloom filter of ``key`` as a broadcast byte array; its size is bounded by ``FILTER_BITS``."""
-    bits = 1 << max(10, min(FILTER_BITS.bit_length() - 1, (count * BITS_PER_KEY).bit_length()))
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys_here = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            spots = np.concatenate(_places(keys_here, bits))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(spots >> 6), pa.array(np.left_shift(_U(1), (spots & 63).astype(np.uint64)).view(np.int64))], ["slot", "bit"]
-            )
-
-    cells = keys.select("key").mapInArrow(place, "slot bigint, bit bigint").groupBy("slot").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(bits >> 6, np.int64)
-    for batch in cells.repartition(max(1, bits >> 24)).toArrow().to_batches():
-        table[batch.column("slot").to_numpy()] = batch.column("bits").to_numpy()
-    return spark.sparkContext.broadcast(table.view(np.uint8)), bits
-
-
-def _holds(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    found = np.ones(len(keys), bool)
-    for spots in _places(keys, bits):
-        found &= (table[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1 == 1
-    return found
-
-
 def _longs(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -159,8 +125,6 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
 
     ``rows`` has ``_id``, ``_hash`` (both long; rows with equal values have equal texts) and ``text``.
     """
-    spark = rows.sparkSession
-
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
             found = words(batch.column("text"))
@@ -170,8 +134,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
     counted = rows.select("text").mapInArrow(anchors, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     shared = materialize(counted.filter("n > 1"), "shared-symbols")
     sizes = shared.agg(F.count(F.lit(1)), F.count_if(F.col("n") > hot)).first()
-    table, bits = _filter(spark, shared, sizes[0])
-    hot_table, hot_bits = _filter(spark, shared.filter(F.col("n") > hot), sizes[1])
+    is_shared = KeyFilter(shared, F.col("key"), sizes[0])
+    is_often = KeyFilter(shared.filter(F.col("n") > hot), F.col("key"), sizes[1])
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -181,10 +145,10 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
             keys = parse.key[np.maximum(parse.anchor, 0)] if len(parse.key) else np.zeros(len(hashes), np.uint64)
             sure = parse.anchor >= 0
             check = sure.copy()
-            check[sure] = _holds(table.value, bits, keys[sure])
+            check[sure] = is_shared.holds(keys[sure])
             at = np.flatnonzero(check | (parse.anchor == -1))
             # Windows without a certain symbol lie in long runs of one word and may be any number.
-            is_hot = (parse.anchor[at] == -1) | _holds(hot_table.value, hot_bits, keys[at])
+            is_hot = (parse.anchor[at] == -1) | is_often.holds(keys[at])
             text = np.searchsorted(found.first, at, side="right") - 1
             ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_id", "_hash"))
             yield pa.RecordBatch.from_arrays(
