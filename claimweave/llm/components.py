@@ -13,18 +13,17 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
 
     Alternates large-star and small-star steps: every node links its larger (its smaller) neighbours to the
     smallest one it knows, until nothing changes.  Each step is one aggregate and one join on tables that
-    never hold more rows than there are links; every state is stored in the shared folder.
-    Stars are spread over tasks: the join splits a hot centre, as both sides are stored.
+    never hold more rows than there are links, and every state is stored in the shared folder.
     """
     edges = links.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).filter("u <> v").distinct()
     edges = materialize(edges, "links")
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        smallest = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "smallest")
+        smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(smallest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        lowest = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = materialize(small.filter("u <> v").distinct(), "small-star")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

@@ -17,14 +17,16 @@ from claimweave.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 misses all 24 bands of 4 registers with probability 3e-6.
-BANDS = 24
-ROWS = 4
-#: Of its registers such a pair shares fewer than this part with probability below 1e-6.
-SKETCH_LEAST = 0.58
+#: A pair of similarity 0.8 misses all 30 bands of 5 registers with probability 7e-6.
+BANDS = 30
+ROWS = 5
+#: Of its 150 registers such a pair shares fewer than this part (five deviations less) with probability below 1e-6.
+SKETCH_LEAST = 0.635
 #: Candidates per bucket that are compared with the whole bucket in the first round, and growth per round.
-FIRST_HUBS = 1
-HUB_GROWTH = 4
+FIRST_HUBS = 2
+HUB_GROWTH = 8
+#: Members of a bucket that one task compares with its hubs.
+SALT_MEMBERS = 2_000
 
 _U = np.uint64
 
@@ -149,7 +151,8 @@ def near_duplicates(
     classes first, are compared with all members of other classes that were not hubs yet; members
     that turn out to be of one class need no more comparison.  Rounds go on, with more hubs each time,
     until no bucket holds two members of different classes that were not compared: no link between
-    classes is lost, and no bucket is capped.  A comparison first looks at the 8-bit registers.
+    classes is lost, and no bucket is capped.  A comparison first looks at 8 bits of each register, then at
+    all shingles, within the task that holds a part of the bucket; only links leave it.
 
     Null and empty texts have no words and stand alone; texts of fewer than ``size`` words match equal word
     sequences only; repeated rows fall into one class; a null id stands alone unless a copy has an id; an
@@ -169,8 +172,17 @@ def near_duplicates(
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
     first = placed.filter(own == F.col("node")).select("node", "bands", "sketch")
     buckets = first.select("node", F.explode("bands").alias("bucket"))
-    full = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("bucket")
-    full = materialize(full, "full-buckets")
+    # Buckets of equal members are one bucket.
+    half = F.lit(0xFFFFFFFF)
+    content = [
+        F.count(F.lit(1)).alias("n"),
+        F.min("node").alias("a"),
+        F.max("node").alias("b"),
+        F.sum(F.xxhash64("node").bitwiseAND(half)).alias("c"),
+        F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(half)).alias("d"),
+    ]
+    several = buckets.groupBy("bucket").agg(*content).filter("a <> b")
+    full = materialize(several.groupBy("n", "a", "b", "c", "d").agg(F.min("bucket").alias("bucket")).select("bucket"), "full-buckets")
     members = materialize(buckets.join(full, "bucket", "left_semi").distinct(), "members")
 
     wanted = materialize(members.select("node").distinct(), "candidates")
@@ -181,24 +193,26 @@ def near_duplicates(
             mask = pa.array(is_wanted.holds(whole_batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)))
             for batch in steps([whole_batch.filter(mask)]):
                 owner, shingle, weight, whole = weighted_shingles(batch.column("text"), size)
+                short = (shingle >> _U(32)).astype("<u4")  # still sorted; equal ones within a text are one
+                first_of = np.ones(len(short), bool)
+                first_of[1:] = (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])
+                owner, short, weight = owner[first_of], short[first_of], weight[first_of].astype("<f2")
                 cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-                spans = list(zip(cuts[:-1], cuts[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array([shingle[a:b].tobytes() for a, b in spans], pa.binary()),
-                        pa.array([weight[a:b].astype("<f4").tobytes() for a, b in spans], pa.binary()),
-                    ],
-                    ["node", "shingles", "weights"],
-                )
+                packed = [short[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["node", "shingles"])
 
     # The filter lets a few others through; the joins by node drop them.
-    stored = materialize(
-        texts.filter("doc_id is not null").mapInArrow(sets, "node bigint, shingles binary, weights binary").dropDuplicates(["node"]),
-        "shingle-sets",
+    stored = (
+        texts.filter("doc_id is not null").mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"])
     )
-    small = materialize(first.select("node", "sketch").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "small-sketches")
-    links = _verified_links(members, small, stored, least, bands * rows)
+    # Which buckets a node is in, by band; a pair is compared in the first that both are in, and there only.
+    own_buckets = members.groupBy("node").agg(F.collect_set("bucket").alias("_in"))
+    elsewhere = F.transform(
+        "bands", lambda key: F.when(F.array_contains("_in", key), key).otherwise(F.xxhash64(F.col("node"), key))
+    )
+    small = first.join(own_buckets, "node").select("node", "sketch", elsewhere.alias("buckets")).dropDuplicates(["node"])
+    stored = materialize(small.join(stored, "node"), "compared-nodes")
+    links = _verified_links(members, stored, least, bands * rows)
 
     classes = materialize(components(links, "a", "b"), "classes") if links is not None else None
     named = placed.select("doc_id", "node")
@@ -212,28 +226,53 @@ def near_duplicates(
     return named.join(grouped, "class_id").select("doc_id", "class_id", "class_size").unionByName(silent)
 
 
-def _verified_links(members: DataFrame, small: DataFrame, stored: DataFrame, least: float, registers: int) -> DataFrame | None:
+def _verified_links(members: DataFrame, stored: DataFrame, least: float, registers: int) -> DataFrame | None:
     """Links between candidates that join all classes there are (see ``near_duplicates``)."""
 
-    def sketch_check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sa", "sb"))
-                near = pa.array((one == two).sum(axis=1) >= SKETCH_LEAST * registers)
-                yield batch.select(["a", "b"]).filter(near)
+    def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+        size = len(packed) // 6
+        return np.frombuffer(packed, "<u4", size), np.frombuffer(packed, "<f2", size, 4 * size).astype(float)
 
-    def exact_check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, wa, b, wb in zip(*(batch.column(c).to_pylist() for c in ("xa", "wa", "xb", "wb")), strict=True):
-                found = similarity(
-                    np.frombuffer(a, np.uint64), np.frombuffer(wa, "<f4").astype(float), np.frombuffer(b, np.uint64), np.frombuffer(wb, "<f4").astype(float)
-                )
-                good.append(max(found) >= least)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within buckets; rows come sorted by bucket and salt, hubs before members.
 
-    def side(table: DataFrame, name: str, *columns: tuple[str, str]) -> DataFrame:
-        return table.select(F.col("node").alias(name), *(F.col(old).alias(new) for old, new in columns))
+        Sketches are compared first, then all shingles.  A member that is linked to a class needs no other
+        link to it.
+        """
+        group: tuple | None = None
+        hubs: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
+            change = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+            sketches_here, sets_here = batch.column("sketch").to_pylist(), batch.column("shingles").to_pylist()
+            lists = batch.column("buckets")
+            table = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            found: list[tuple[int, int]] = []
+            for begin, end in zip(change, [*change[1:], batch.num_rows], strict=True):
+                if group != (keys[0, begin], keys[1, begin]):
+                    group, hubs = (keys[0, begin], keys[1, begin]), []
+                if keys[2, begin] == 0:
+                    hubs += [
+                        (nodes[i], labels[i], np.frombuffer(sketches_here[i], np.uint8), table[i].copy(), unpack(sets_here[i]))
+                        for i in range(begin, end)
+                    ]
+                    continue
+                own = np.frombuffer(b"".join(sketches_here[begin:end]), np.uint8).reshape(-1, registers)
+                joined: set[tuple[int, int]] = set()
+                for hub, hub_label, hub_sketch, hub_buckets, hub_set in hubs:
+                    alike = (own == hub_sketch).sum(axis=1) >= SKETCH_LEAST * registers
+                    rows = np.flatnonzero(alike & (labels[begin:end] != hub_label)) + begin
+                    rows = rows[hub_buckets[(table[rows] == hub_buckets).argmax(axis=1)] == group[0]]
+                    for i in rows:
+                        if (i, hub_label) not in joined and max(similarity(*hub_set, *unpack(sets_here[i]))) >= least:
+                            joined.add((i, hub_label))
+                            found.append((min(hub, nodes[i]), max(hub, nodes[i])))
+            if found:
+                a, b = np.array(found, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     links, open_members, hubs = None, members, FIRST_HUBS
     labels = None
@@ -244,30 +283,32 @@ def _verified_links(members: DataFrame, small: DataFrame, stored: DataFrame, lea
             labeled = open_members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         groups = labeled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         active = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-        labeled = materialize(labeled.join(materialize(active, "active"), "bucket", "left_semi"), "labeled")
-        sized = materialize(labeled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")), "sized")
+        labeled = materialize(labeled.join(active, "bucket", "left_semi"), "labeled")
+        sized = labeled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node"))
         chosen = labeled.join(sized, ["bucket", "label"]).withColumn("rank", rank).filter(F.col("rank") <= hubs)
-        chosen = materialize(chosen.select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label"), "rank"), "hubs")
+        chosen = materialize(chosen.select("bucket", "node", "label"), "hubs")
         if chosen.isEmpty():
             return links
-        met = labeled.join(chosen, "bucket").filter("label <> hub_label")
-        pairs = materialize(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-        close = (
-            pairs.join(side(small, "a", ("sketch", "sa")), "a")
-            .join(side(small, "b", ("sketch", "sb")), "b")
-            .mapInArrow(sketch_check, "a bigint, b bigint")
+        # A large bucket is dealt over salts, each of which gets all hubs.
+        total = labeled.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("salts"))
+        spread = chosen.join(total, "bucket").select(
+            "bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "label"
         )
-        close = materialize(close, "close-pairs")
-        verified = (
-            close.join(side(stored, "a", ("shingles", "xa"), ("weights", "wa")), "a")
-            .join(side(stored, "b", ("shingles", "xb"), ("weights", "wb")), "b")
-            .mapInArrow(exact_check, "a bigint, b bigint")
+        salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+        dealt = labeled.join(total, "bucket").select("bucket", salt.alias("salt"), F.lit(1).alias("kind"), "node", "label")
+        compared = (
+            spread.unionByName(dealt)
+            .join(stored, "node")
+            .select("bucket", "salt", "kind", "node", "label", "sketch", "buckets", "shingles")
+            .repartition("bucket", "salt")
+            .sortWithinPartitions("bucket", "salt", "kind")
         )
-        verified = materialize(verified, "verified")
-        links = verified if links is None else links.unionByName(verified)
-        labels = materialize(components(links, "a", "b"), "labels")
-        served = chosen.select("bucket", F.col("hub").alias("node"))
+        verified = materialize(compared.mapInArrow(compare, "a bigint, b bigint").distinct(), "verified")
+        if not verified.isEmpty():
+            links = verified if links is None else links.unionByName(verified)
+            labels = materialize(components(links, "a", "b"), "labels")
+        served = chosen.select("bucket", "node")
         open_members = materialize(labeled.select("bucket", "node").join(served, ["bucket", "node"], "left_anti"), "open-members")
         hubs *= HUB_GROWTH
 
