@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import curriculum, imatch, orc_tokens, packing, probminhash, recompress, repetition, token_counts
+from claimweave.llm import curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
 from claimweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,12 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_TOKENIZER))
 
 
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.predict(docs, language.fit(docs))
+
+
 @query
 def op7_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = recompress.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
