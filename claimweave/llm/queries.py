@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
+from claimweave.llm import cotrain, curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
 from claimweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(WORD_TOKENIZER), end_id=0)
 
 
+@query
+def op9_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    marks = cotrain.metadata(docs, spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    views = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), marks)
+    return cotrain.score(docs, marks, views)
+
+
 @query
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
