@@ -24,8 +24,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, kept per process."""
     global _POWERS, _DOWN
     if len(_POWERS) < size:
-        size = max(size, 1 << 20)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
+        room = max(size, 1 << 20)
+        up, down = np.full(room, _BASE), np.full(room, _INVERSE)
         up[0] = down[0] = 1
         _POWERS, _DOWN = np.cumprod(up), np.cumprod(down)
     return _POWERS[:size], _DOWN[:size]
