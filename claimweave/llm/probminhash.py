@@ -23,8 +23,8 @@ ROWS = 5
 #: Of its 150 registers such a pair shares fewer than this part (five deviations less) with probability below 1e-6.
 SKETCH_LEAST = 0.635
 #: Candidates per bucket that are compared with the whole bucket in the first round, and growth per round.
-FIRST_HUBS = 2
-HUB_GROWTH = 8
+FIRST_HUBS = 4
+HUB_GROWTH = 32
 #: Members of a bucket that one task compares with its hubs.
 SALT_MEMBERS = 2_000
 
@@ -212,9 +212,7 @@ def near_duplicates(
     )
     small = first.join(own_buckets, "node").select("node", "sketch", elsewhere.alias("buckets")).dropDuplicates(["node"])
     stored = materialize(small.join(stored, "node"), "compared-nodes")
-    links = _verified_links(members, stored, least, bands * rows)
-
-    classes = materialize(components(links, "a", "b"), "classes") if links is not None else None
+    classes = _classes(members, stored, least, bands * rows)
     named = placed.select("doc_id", "node")
     if classes is None:
         named = named.withColumn("class_id", F.col("node"))
@@ -226,8 +224,8 @@ def near_duplicates(
     return named.join(grouped, "class_id").select("doc_id", "class_id", "class_size").unionByName(silent)
 
 
-def _verified_links(members: DataFrame, stored: DataFrame, least: float, registers: int) -> DataFrame | None:
-    """Links between candidates that join all classes there are (see ``near_duplicates``)."""
+def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int) -> DataFrame | None:
+    """``(node, label)`` of the candidates that are linked, None without any (see ``near_duplicates``)."""
 
     def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
         size = len(packed) // 6
@@ -289,7 +287,7 @@ def _verified_links(members: DataFrame, stored: DataFrame, least: float, registe
         chosen = labeled.join(sized, ["bucket", "label"]).withColumn("rank", rank).filter(F.col("rank") <= hubs)
         chosen = materialize(chosen.select("bucket", "node", "label"), "hubs")
         if chosen.isEmpty():
-            return links
+            return labels
         # A large bucket is dealt over salts, each of which gets all hubs.
         total = labeled.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("salts"))
         spread = chosen.join(total, "bucket").select(
