@@ -47,8 +47,9 @@ Resolver = Callable[[str], Typed | None]
 
 
 def variant_path(value: Column, path: str) -> Typed:
-    """A dotted path inside an open map; a missing step gives null."""
-    return Typed(F.try_variant_get(value, "$." + path, "variant"), "variant")
+    """A dotted path inside an open map; a missing step and a JSON null give null."""
+    found = F.try_variant_get(value, "$." + path, "variant")
+    return Typed(F.when(~F.is_variant_null(found), found), "variant")
 
 
 def compile_condition(tree: Mapping[str, Any], resolve: Resolver) -> Column:

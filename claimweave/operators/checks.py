@@ -184,9 +184,9 @@ def matching_definitions(runs: DataFrame, definitions: DataFrame) -> tuple[DataF
     checked = joined.withColumn(
         "violations",
         reasons(
-            not_executable=~F.col("status").isin("approved", "approved-for-demo"),
+            not_executable=~F.coalesce(F.col("status").isin("approved", "approved-for-demo"), F.lit(False)),
             unknown_definition=F.col("_digest").isNull(),
-            digest_mismatch=F.col("_digest").isNotNull() & (F.col("_digest") != F.col("digest")),
+            digest_mismatch=F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("digest")),
         ),
     ).drop("_digest", "_status")
     return split_checked(checked)

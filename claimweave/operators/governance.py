@@ -29,18 +29,18 @@ class AccessPolicy:
 
 def retention_violations(artifacts: DataFrame, policy: RetentionPolicy = RetentionPolicy()) -> DataFrame:
     """Derived artifacts that hold raw input although the policy forbids it."""
-    return artifacts.filter(F.col("contains_raw_input") & F.lit(not policy.raw_input_retained))
+    return artifacts.filter(F.coalesce("contains_raw_input", F.lit(True)) & F.lit(not policy.raw_input_retained))
 
 
 def access_violations(requests: DataFrame, policy: AccessPolicy) -> DataFrame:
-    """Refused requests with the first reason that applies."""
+    """Refused requests with the first reason that applies; what is not known to be allowed is refused."""
     size = F.col("input_characters")
     reason = first_reason(
-        provider_not_allowlisted=~F.col("provider").isin(*policy.provider_allowlist),
-        not_deidentified=F.lit(policy.require_deidentified_input) & ~F.col("deidentified"),
-        retention_enabled=F.lit(policy.require_zero_retention) & ~F.col("zero_retention"),
-        telemetry_enabled=F.lit(not policy.allow_prompt_telemetry) & F.col("telemetry_enabled"),
-        input_too_large=(size < 0) | (size > policy.max_input_characters),
+        provider_not_allowlisted=~F.coalesce(F.col("provider").isin(*policy.provider_allowlist), F.lit(False)),
+        not_deidentified=F.lit(policy.require_deidentified_input) & ~F.coalesce("deidentified", F.lit(False)),
+        retention_enabled=F.lit(policy.require_zero_retention) & ~F.coalesce("zero_retention", F.lit(False)),
+        telemetry_enabled=F.lit(not policy.allow_prompt_telemetry) & F.coalesce("telemetry_enabled", F.lit(True)),
+        input_too_large=~F.coalesce(size.between(0, policy.max_input_characters), F.lit(False)),
     )
     return requests.withColumn("reason", reason).filter(F.col("reason").isNotNull())
 
@@ -49,7 +49,7 @@ def promotable(proposals: DataFrame, min_precision: float = 0.95) -> tuple[DataF
     """Proposals with a reviewer, enough precision and a rule; recall is recorded, not gated."""
     reason = first_reason(
         no_reviewer=text.is_blank(F.col("reviewer_id")),
-        precision_too_low=F.col("evaluation_precision") < min_precision,
+        precision_too_low=~F.coalesce(F.col("evaluation_precision") >= min_precision, F.lit(False)),
         no_rule=text.is_blank(F.col("proposed_rule")),
     )
     checked = proposals.withColumn("reason", reason)

@@ -148,8 +148,9 @@ def synthesize(hypotheses: DataFrame, critiques: DataFrame) -> DataFrame:
 
     Best is the highest financial, then evidence confidence, then input order.
     """
-    supported = critiques.filter("supported").select("hypothesis_id").distinct()
-    kept = hypotheses.join(supported, "hypothesis_id", "left_semi")
+    # Hypothesis ids are unique within a packet only.
+    supported = critiques.filter("supported").select("packet_id", "hypothesis_id").distinct()
+    kept = hypotheses.join(supported, ["packet_id", "hypothesis_id"], "left_semi")
     keyed = kept.withColumn("_codes", F.concat_ws(",", "candidate_codes"))
     order = [F.desc("confidence_financial"), F.desc("confidence_evidence"), F.asc("input_order")]
     return first_per_group(keyed, ["encounter_id", "category", "_codes"], order, "hypothesis_id").drop("_codes")

@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from claimweave.functions.canonical import canonical_hash
 from claimweave.operators.checks import overlap, unknown_references
 from claimweave.operators.scale import reasons, split_checked, split_rejects
-from claimweave.session import cut_lineage
-
-#: Levels after which a hierarchy counts as cyclic.
-MAX_DEPTH = 64
+from claimweave.session import cut_lineage, materialize
 
 
 @dataclass(frozen=True)
@@ -26,45 +23,47 @@ class Ontology:
     value_sets: DataFrame
 
 
-def class_closure(classes: DataFrame, levels: int) -> DataFrame:
-    """Reflexive, transitive ``(class_id, ancestor, depth)`` of a single-parent tree.
+def class_closure(classes: DataFrame) -> DataFrame:
+    """Reflexive, transitive ``(class_id, ancestor, depth)`` of a single-parent hierarchy of any depth.
 
-    ``levels`` is the number of parent steps the hierarchy can have; each is one
-    join of the frontier with the parent table, so nothing loops on the driver
-    over data and a cycle stops at the bound.
+    One join of the frontier with the parent table per level, until a level finds no new ancestor, so
+    a cycle ends the loop as well.  Every level is stored in the shared folder.
     """
     parent = classes.select(F.col("class_id").alias("ancestor"), F.col("parent").alias("_parent"))
     frontier = classes.select("class_id", F.col("class_id").alias("ancestor"), F.lit(0).cast("bigint").alias("depth"))
-    closure = frontier
-    for _ in range(levels):
+    closure = frontier = materialize(frontier, "closure-level")
+    while True:
         frontier = (
             frontier.join(parent, "ancestor")
-            .filter(F.col("_parent").isNotNull() & (F.col("_parent") != F.col("class_id")))
+            .filter(F.col("_parent").isNotNull())
             .select("class_id", F.col("_parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+            .join(closure.select("class_id", "ancestor"), ["class_id", "ancestor"], "left_anti")
         )
+        frontier = materialize(frontier, "closure-level")
+        if frontier.isEmpty():
+            return closure.groupBy("class_id", "ancestor").agg(F.min("depth").alias("depth"))
         closure = closure.unionByName(frontier)
-    return closure.groupBy("class_id", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def reach_root(classes: DataFrame, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
+def reach_root(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(rooted, cyclic)`` classes by pointer doubling: log2(depth) joins.
 
-    A class whose pointer is still set after ``2^n > max_depth`` steps never
-    reaches a root, so it sits on or below a cycle.  Every round is checkpointed.
+    Every round settles the classes of the next depths.  When a round settles none, those that
+    still point somewhere sit on or below a cycle.  Every round is checkpointed.
     """
     known = classes.select(F.col("class_id").alias("parent")).distinct()
     pointers = classes.select("class_id", "parent").join(known.withColumn("_known", F.lit(True)), "parent", "left")
     pointers = pointers.select("class_id", F.when(F.col("_known"), F.col("parent")).alias("pointer"))
-    steps = 1
-    while steps <= max_depth:
+    open_before = None
+    while (still_open := pointers.filter(F.col("pointer").isNotNull()).count()) != open_before and still_open:
+        open_before = still_open
         ahead = pointers.select(F.col("class_id").alias("pointer"), F.col("pointer").alias("_next"))
         pointers = cut_lineage(pointers.join(ahead, "pointer", "left").select("class_id", F.col("_next").alias("pointer")))
-        steps *= 2
     rooted = pointers.filter(F.col("pointer").isNull()).select("class_id")
     return rooted, pointers.filter(F.col("pointer").isNotNull()).select("class_id")
 
 
-def check_definition(ontology: Ontology, max_depth: int = MAX_DEPTH) -> DataFrame:
+def check_definition(ontology: Ontology) -> DataFrame:
     """Faults of a definition as ``(item, violation)`` rows."""
     classes = ontology.classes
     known = classes.select("class_id").distinct()
@@ -86,7 +85,7 @@ def check_definition(ontology: Ontology, max_depth: int = MAX_DEPTH) -> DataFram
         .select("item", F.lit("unknown_class").alias("violation"))
         .distinct()
     )
-    _, cyclic = reach_root(classes, max_depth)
+    _, cyclic = reach_root(classes)
     cycle = cyclic.select(F.col("class_id").alias("item"), F.lit("hierarchy_cycle").alias("violation"))
     return unknown_parent.unionByName(unknown_set).unionByName(unknown_class).unionByName(cycle)
 

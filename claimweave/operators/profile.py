@@ -10,8 +10,6 @@ from pyspark.sql import types as T
 
 from claimweave.functions.canonical import canonical_hash
 
-#: Distinct values are reported up to this number.
-MAX_DISTINCT = 10_000
 TRUNCATED = "…[truncated]"
 
 
@@ -90,7 +88,7 @@ def profile(df: DataFrame, artifact: str, columns: Sequence[str] | None = None,
     per_column = per_value.groupBy("column_name").agg(
         F.array_sort(F.collect_set("type")).alias("types"),
         F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
-        F.least(F.count("digest"), F.lit(MAX_DISTINCT)).alias("distinct_values"),
+        F.count("digest").alias("distinct_values"),
         F.sum("n").alias("rows"),
     )
     types = F.when(F.size("types") == 0, F.lit("null")).otherwise(F.concat_ws(",", "types"))

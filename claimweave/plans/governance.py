@@ -172,8 +172,9 @@ def critiques(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "opportunity_synthesis",
-    f"""WITH {_HYPOTHESES_SQL}, supported AS (SELECT DISTINCT CASE WHEN k = 51 THEN user_id ELSE event_id END AS event_id
-      FROM ev WHERE event_type <> 'error' AND k >= 30 AND k <> 50)
+    f"""WITH {_HYPOTHESES_SQL}, named AS (SELECT user_id AS packet, CASE WHEN k = 51 THEN user_id ELSE event_id END AS named_id
+      FROM ev WHERE event_type <> 'error' AND k >= 30 AND k <> 50),
+    supported AS (SELECT DISTINCT ev.event_id FROM named JOIN ev ON ev.event_id = named_id AND ev.user_id = packet)
     SELECT 'H-' || event_id AS hypothesis_id, encounter_id, category FROM (
       SELECT *, row_number() OVER (PARTITION BY encounter_id, category, array_to_string(codes, ',')
         ORDER BY fin_conf DESC, ev_conf DESC, event_id) AS rn FROM hyp WHERE event_id IN (SELECT event_id FROM supported)) WHERE rn = 1""",

@@ -54,7 +54,7 @@ _TREE_SQL = """tree AS (
     SELECT class_id, ancestor, depth FROM up""",
 )
 def class_closure_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return class_closure(class_tree(spark, sf_dir), levels=3)
+    return class_closure(class_tree(spark, sf_dir))
 
 
 def _relations(spark: SparkSession) -> DataFrame:
@@ -113,7 +113,7 @@ def relation_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     evidence = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select(text_id("O-", "o_orderkey").alias("evidence_id"))
     classes = materialize(class_tree(spark, sf_dir).filter(~F.col("class_id").rlike("^[CS]-")), "classes")
-    closure = materialize(class_closure(classes, levels=2), "closure")
+    closure = materialize(class_closure(classes), "closure")
     ontology = Ontology(classes, _relations(spark), spark.createDataFrame([], "value_set string, value string"))
     checked = checked_relations(relations, suppliers.unionByName(customers), evidence, ontology, closure, scope=[])
     return checked.select("relation_id", "predicate", F.concat_ws("|", "violations").alias("violations"))
@@ -169,7 +169,7 @@ def definition_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         [("covers", ["Entity"], ["R-4"], False)],
         "relation_id string, domain array<string>, range array<string>, requires_evidence boolean",
     )
-    return check_definition(Ontology(damaged, relations, spark.createDataFrame([("known", "1")], "value_set string, value string")), max_depth=8)
+    return check_definition(Ontology(damaged, relations, spark.createDataFrame([("known", "1")], "value_set string, value string")))
 
 
 @query(

@@ -320,7 +320,7 @@ def _noted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
       UNION ALL SELECT 'events', unnest(['event_type', 'user_id', 'props', 'note']), unnest([event_type, CAST(user_id AS VARCHAR), props,
         CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN props END]) FROM events)
     SELECT artifact, column_name, CASE WHEN column_name = 'user_id' THEN 'integer' ELSE 'string' END AS inferred_types,
-      count(*) FILTER (v IS NULL OR v = '') AS missing, least(count(DISTINCT nullif(v, '')), 10000) AS distinct_values, count(*) AS rows
+      count(*) FILTER (v IS NULL OR v = '') AS missing, count(DISTINCT nullif(v, '')) AS distinct_values, count(*) AS rows
     FROM cells GROUP BY artifact, column_name""",
 )
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -629,7 +629,7 @@ def mapping_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "bundle_manifest",
     """SELECT row_number() OVER (ORDER BY o_orderkey) AS position, 'CASE-' || o_orderkey AS case_id, o_orderkey AS encounter_id,
-      lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), 6, '0') || '-' || substr(sha256('CASE-' || o_orderkey), 1, 12)
+      lpad(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR), CAST(greatest(6, length(CAST(row_number() OVER (ORDER BY o_orderkey) AS VARCHAR))) AS INTEGER), '0') || '-' || substr(sha256('CASE-' || o_orderkey), 1, 12)
         || '.source-bundle.json' AS file FROM orders""",
 )
 def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (local tests) one fresh folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return configured or _own_dir()
 
 

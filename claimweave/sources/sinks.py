@@ -29,7 +29,10 @@ def nest_children(
 
 def bundle_file(position: Column, case_id: Column) -> Column:
     """File name of a bundle: its position and a short digest of the case id."""
-    return F.concat(F.lpad(position.cast("string"), 6, "0"), F.lit("-"), F.substring(F.sha2(case_id, 256), 1, 12), F.lit(".source-bundle.json"))
+    digits = position.cast("string")
+    # Padded, never cut: positions from a million on keep all their digits.
+    padded = F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)
+    return F.concat(padded, F.lit("-"), F.substring(F.sha2(case_id, 256), 1, 12), F.lit(".source-bundle.json"))
 
 
 def rank_by_id(df: DataFrame, order: str, width: int) -> DataFrame:

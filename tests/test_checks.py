@@ -170,7 +170,7 @@ def test_promotion_and_validation(spark):
 
 def test_synthesis_keeps_the_best_duplicate(spark):
     frame = spark.createDataFrame([hypothesis(1, financial=0.4), hypothesis(2, financial=0.9), hypothesis(3, codes=("X",)), hypothesis(4, codes=("Y",))], HYPOTHESIS)
-    critiques = spark.createDataFrame([("H1", True), ("H2", True), ("H3", False)], "hypothesis_id string, supported boolean")
+    critiques = spark.createDataFrame([("P", "H1", True), ("P", "H2", True), ("P", "H3", False), ("Q", "H3", True)], "packet_id string, hypothesis_id string, supported boolean")
     assert [r.hypothesis_id for r in synthesize(frame, critiques).collect()] == ["H2"]
 
 
