@@ -29,7 +29,7 @@ def ontology(spark):
 
 
 def test_closure_is_reflexive_and_transitive(ontology):
-    got = {(r.class_id, r.ancestor): r.depth for r in class_closure(ontology.classes, 3).collect()}
+    got = {(r.class_id, r.ancestor): r.depth for r in class_closure(ontology.classes).collect()}
     assert got[("PressureInjury", "PressureInjury")] == 0 and got[("PressureInjury", "Entity")] == 2
     assert ("Wound", "PressureInjury") not in got
 
@@ -59,7 +59,7 @@ def test_graph_checks(spark, ontology):
         "case_id string, relation_id string, predicate string, source_id string, target_id string, evidence_ids array<string>, contradicting_evidence_ids array<string>",
     )
     evidence = spark.createDataFrame([("C", "E1")], "case_id string, evidence_id string")
-    ok, rejects = check_relations(relations, entities, evidence, ontology, class_closure(ontology.classes, 3))
+    ok, rejects = check_relations(relations, entities, evidence, ontology, class_closure(ontology.classes))
     assert [r.relation_id for r in ok.collect()] == ["ok"]
     assert {r.relation_id: r.violations for r in rejects.collect()} == {
         "back": ["invalid_source", "invalid_target"], "bare": ["requires_evidence"], "both": ["overlap"],
