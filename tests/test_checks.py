@@ -12,6 +12,7 @@ from claimweave.operators.investigate import promote, synthesize, validate_hypot
 from claimweave.operators.metrics import automation_summary, display_amount, display_percent, search_queue, unresolved
 from claimweave.operators.ontology import Ontology, check_definition, check_entities, check_relations, class_closure, crosswalk, merge_graph, reach_root
 from claimweave.operators.packets import check_findings, check_identifiers
+from claimweave.plans import QUERIES
 
 CLASS = "class_id string, parent string, abstract boolean, value_set string"
 RELATION = "relation_id string, domain array<string>, range array<string>, requires_evidence boolean"
@@ -35,15 +36,15 @@ def test_closure_is_reflexive_and_transitive(ontology):
 
 
 def test_definition_faults_and_cycles(spark, ontology):
-    assert check_definition(ontology, 8).count() == 0
+    assert check_definition(ontology).count() == 0
     rows = [("a", "b", False, None), ("b", "c", False, None), ("c", "a", False, None), ("d", "a", False, "none"), ("e", "zzz", False, None), ("f", "e", False, None)]
     bad = Ontology(spark.createDataFrame(rows, CLASS), spark.createDataFrame([("r", ["a"], ["q"], False)], RELATION), ontology.value_sets)
-    assert {(r.item, r.violation) for r in check_definition(bad, 8).collect()} == {
+    assert {(r.item, r.violation) for r in check_definition(bad).collect()} == {
         ("a", "hierarchy_cycle"), ("b", "hierarchy_cycle"), ("c", "hierarchy_cycle"), ("d", "hierarchy_cycle"),
         ("d", "unknown_value_set"), ("e", "unknown_parent"), ("r", "unknown_class"),
     }
-    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, False, None) for i in range(40)], CLASS)
-    assert reach_root(deep, 64)[1].count() == 0
+    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None, False, None) for i in range(200)], CLASS)
+    assert reach_root(deep)[1].count() == 0
 
 
 def test_graph_checks(spark, ontology):
@@ -216,7 +217,7 @@ def test_queue_and_summary(spark):
 
 def test_contract(spark):
     queries, twins = contract.queries(), contract.oracle_sql()
-    assert set(twins) <= set(queries) and set(queries) - set(twins) == {"folder_inventory"}
+    assert set(twins) <= set(queries) and set(QUERIES) - set(twins) == {"folder_inventory"}
     row = contract.entry(spark).groupBy().count().head()
     assert row[0] == 1_841
     found = queries["omitted_charge_findings"](spark, "/root/testdata/sf0.001").agg(
