@@ -67,22 +67,40 @@ def write_tokens(
     )
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids)`` from the files; ``start`` counts the ids of all rows before.
+def stored_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, n_tokens, before, ids, file)`` as they lie in the files; ``file`` is the number of the file."""
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
+    return spark.read.schema(_SCHEMA).orc(path).withColumn("file", number)
+
 
-    One row per file (its number and its sum) is all that is ordered in one place.  A filter on
-    ``doc_id`` reaches the scan, where the index and the Bloom filter prune.
+def with_starts(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """``rows`` of ``stored_tokens`` with ``start``, the ids of all rows before, for ``before`` and ``file``.
+
+    One row per file (its number and its sum) is all that is ordered in one place; it is read
+    from the ``n_tokens`` column alone.
     """
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("bigint")
-    stored = spark.read.schema(_SCHEMA).orc(path).withColumn("file", number)
     files = stored.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
-    return stored.join(bases, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids")
+    kept = [c for c in rows.columns if c not in ("before", "file")]
+    placed = rows.join(bases, "file").withColumn("start", F.col("base") + F.col("before"))
+    return placed.select("doc_id", "start", *kept[1:])
+
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids)`` from the files; ``start`` counts the ids of all rows before.
+
+    A filter on ``doc_id`` reaches the scan, where the index and the Bloom filter prune.
+    """
+    stored = stored_tokens(spark, path)
+    return with_starts(stored, stored)
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """Replace ``ids`` by ``ids_crc32``, the unsigned crc32 of its little-endian 32-bit integers."""
+
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` from the files, the unsigned crc32 of the little-endian 32-bit ids.
+
+    Ids are digested where they are read, so no shuffle moves them.
+    """
 
     def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +108,10 @@ def digests(tokens: DataFrame) -> DataFrame:
             values = np.asarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")
             offsets = lists.offsets.to_numpy()
             sums = [crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            kept = [batch.column(name) for name in ("doc_id", "start", "n_tokens")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            kept = [batch.column(name) for name in ("doc_id", "n_tokens", "before", "file")]
+            names = ["doc_id", "n_tokens", "before", "file", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums, pa.int64())], names)
 
-    return tokens.mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    stored = stored_tokens(spark, path)
+    schema = "doc_id bigint, n_tokens bigint, before bigint, file bigint, ids_crc32 bigint"
+    return with_starts(stored.mapInArrow(digest, schema), stored)

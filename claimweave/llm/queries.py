@@ -83,4 +83,4 @@ def op9_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
-    return orc_tokens.digests(orc_tokens.read_tokens(spark, path))
+    return orc_tokens.read_digests(spark, path)
