@@ -13,7 +13,7 @@ from claimweave.functions.codes import apply_change
 from claimweave.operators.checks import duplicates, overlap, unknown_references
 from claimweave.operators.scale import first_per_group, reasons, split_checked
 
-# What each hypothesis category proposes, and how it is routed.
+# What each hypothesis category proposes, and how it is routed.  The titles are free.
 CHANGE_KEY = {
     "missed_diagnosis": "add_diagnoses",
     "coding_specificity": "add_diagnoses",
@@ -32,15 +32,15 @@ DISPOSITION = {
     "unsupported_billing": "compliance_review",
 }
 TITLE = {
-    "missed_diagnosis": "possible omitted diagnosis",
-    "missed_procedure": "possible omitted procedure",
-    "missed_charge": "possible missed charge",
-    "coding_specificity": "possible coding-specificity gap",
-    "drg_discrepancy": "possible DRG discrepancy",
-    "documentation_gap": "documentation gap",
-    "denial_risk": "possible denial risk",
-    "payment_variance": "possible payment variance",
-    "unsupported_billing": "possible unsupported billing issue",
+    "missed_diagnosis": "Diagnosis documented, not on the claim",
+    "missed_procedure": "Procedure documented, not on the claim",
+    "missed_charge": "Service documented, not charged",
+    "coding_specificity": "Code less exact than the record",
+    "drg_discrepancy": "Claim group differs from the record",
+    "documentation_gap": "Record incomplete",
+    "denial_risk": "Payer may deny",
+    "payment_variance": "Payment differs from the contract",
+    "unsupported_billing": "Billed without support in the record",
 }
 
 
@@ -50,7 +50,7 @@ def category_lookup(category: Column, table: dict[str, str]) -> Column:
 
 
 def title_of(category: Column) -> Column:
-    return F.concat(F.lit("Agent identified a "), category_lookup(category, TITLE))
+    return category_lookup(category, TITLE)
 
 
 def structural_violations() -> Column:

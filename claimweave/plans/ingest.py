@@ -177,7 +177,7 @@ def row_filter_dsl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "transform_text",
     """SELECT c_custkey, lower(c_name) AS name, CAST(NULL AS VARCHAR) AS name_error, upper(nullif(c_mktsegment, 'BUILDING')) AS segment,
-      CASE WHEN c_mktsegment = 'BUILDING' THEN 'requires a string value' END AS segment_error,
+      CASE WHEN c_mktsegment = 'BUILDING' THEN 'not_text' END AS segment_error,
       c_name || ':' || coalesce(nullif(c_mktsegment, 'BUILDING'), 'None') || '!' AS label, CAST(NULL AS VARCHAR) AS label_error,
       'fixed' AS kind, CAST(NULL AS VARCHAR) AS kind_error FROM customer""",
 )
@@ -203,11 +203,11 @@ def transform_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "transform_numeric",
     """SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_linenumber <> 7 THEN CAST(l_quantity AS BIGINT) END AS units,
-      CASE WHEN l_linenumber = 7 THEN 'cannot convert value to integer' END AS units_error,
+      CASE WHEN l_linenumber = 7 THEN 'not_integer' END AS units_error,
       CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(l_extendedprice AS BIGINT) END AS whole_price,
-      CASE WHEN l_extendedprice <> floor(l_extendedprice) THEN 'would lose precision converting to integer' END AS whole_price_error,
+      CASE WHEN l_extendedprice <> floor(l_extendedprice) THEN 'inexact_integer' END AS whole_price_error,
       CASE WHEN l_linenumber <> 7 THEN l_quantity END AS amount,
-      CASE WHEN l_linenumber = 7 THEN 'cannot convert value to number' END AS amount_error FROM lineitem""",
+      CASE WHEN l_linenumber = 7 THEN 'not_number' END AS amount_error FROM lineitem""",
 )
 def transform_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = table(spark, sf_dir, "lineitem").select(
@@ -231,7 +231,7 @@ def transform_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "transform_boolean",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN TRUE WHEN 'O' THEN FALSE END AS finished,
-      CASE WHEN o_orderstatus = 'P' THEN 'cannot convert value to boolean' END AS finished_error FROM orders""",
+      CASE WHEN o_orderstatus = 'P' THEN 'not_boolean' END AS finished_error FROM orders""",
 )
 def transform_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") == "O", "f ").otherwise("on")
@@ -243,7 +243,7 @@ def transform_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
     "transform_datetime",
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00'
         WHEN 'O' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+02:00' END AS at,
-      CASE WHEN o_orderstatus = 'P' THEN 'naive datetime; configure a timezone' END AS at_error,
+      CASE WHEN o_orderstatus = 'P' THEN 'no_time_zone' END AS at_error,
       strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS local, CAST(NULL AS VARCHAR) AS local_error FROM orders""",
 )
 def transform_datetime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +279,7 @@ def transform_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "transform_map",
     """SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS level,
-      CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'has unmapped value ' || o_orderpriority END AS level_error
+      CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN 'unmapped:' || o_orderpriority END AS level_error
     FROM orders""",
 )
 def transform_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -641,7 +641,7 @@ def bundle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "projected_rejects",
-    """SELECT event_id, 'level has unmapped value error' AS violation FROM events WHERE event_type = 'error'""",
+    """SELECT event_id, 'level unmapped:error' AS violation FROM events WHERE event_type = 'error'""",
 )
 def projected_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose expressions fail, with the reason."""

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
-import re
+import posixpath
 import zipfile
 from collections.abc import Iterator
+from itertools import product
+from string import ascii_uppercase
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -22,71 +24,78 @@ _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 
 
-def _xml(book: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
-    return ElementTree.fromstring(book.read(name)) if name in book.namelist() else None
+def _stream(book: zipfile.ZipFile, member: str, tag: str) -> Iterator[ElementTree.Element]:
+    """Complete elements of a tag, each forgotten after use, so a part of any size takes the memory of one element."""
+    parents: list[ElementTree.Element] = []
+    with book.open(member) as part:
+        for event, node in ElementTree.iterparse(part, events=("start", "end")):
+            if event == "start":
+                parents.append(node)
+                continue
+            parents.pop()
+            if node.tag == tag:
+                yield node
+                (parents[-1] if parents else node).clear()
 
 
-def _joined_text(node: ElementTree.Element) -> str:
-    return "".join(part.text or "" for part in node.iter(_MAIN + "t"))
+def _letters_in_order() -> Iterator[str]:
+    """Names of columns from left to right."""
+    for size in (1, 2, 3):
+        for name in product(ascii_uppercase, repeat=size):
+            yield "".join(name)
 
 
-def _visible_sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
-    targets = {link.get("Id"): link.get("Target", "") for link in _xml(book, "xl/_rels/workbook.xml.rels").iter(_PACKAGE + "Relationship")}
-    found = []
-    for sheet in _xml(book, "xl/workbook.xml").iter(_MAIN + "sheet"):
-        if sheet.get("state", "visible") == "visible":
-            member = targets[sheet.get(_LINK + "id")].lstrip("/")
-            found.append((sheet.get("name"), member if member.startswith("xl/") else "xl/" + member))
-    return found
-
-
-def _column(reference: str) -> int:
-    number = 0
-    for letter in re.match("[A-Za-z]+", reference).group().upper():
-        number = 26 * number + ord(letter) - 64
-    return number
-
-
-def _value(cell: ElementTree.Element, strings: list[str]) -> str | None:
-    kind = cell.get("t")
-    if kind == "inlineStr":
-        return _joined_text(cell)
-    raw = cell.findtext(_MAIN + "v")
-    if raw is None or kind in ("str", "e"):
-        return raw
-    if kind == "s":
-        return strings[int(raw)]
-    if kind == "b":
-        return "true" if raw == "1" else "false"
+def _number_text(raw: str) -> str:
     try:
         number = float(raw)
     except ValueError:
         return raw
-    return str(int(number)) if number.is_integer() else repr(number)
+    return f"{number:.0f}" if number.is_integer() else repr(number)
+
+
+def _all_text(node: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in node.iterfind(f".//{_MAIN}t"))
+
+
+def _row_cells(row: ElementTree.Element, strings: list[str]) -> dict[str, str | None]:
+    """Text of the cells of a row by column letters."""
+    cells: dict[str, str | None] = {}
+    for cell in row.iterfind(_MAIN + "c"):
+        letters = cell.get("r", "A").rstrip("0123456789").upper()
+        kind, raw = cell.get("t", "n"), cell.findtext(_MAIN + "v")
+        if kind == "inlineStr":
+            raw = _all_text(cell)
+        elif raw is not None and kind in _TEXT_OF:
+            raw = _TEXT_OF[kind](raw, strings)
+        cells[letters] = raw
+    return cells
+
+
+# How stored values of a kind become text; other kinds are text already.
+_TEXT_OF = {
+    "s": lambda raw, strings: strings[int(raw)],
+    "b": lambda raw, strings: "true" if raw == "1" else "false",
+    "n": lambda raw, strings: _number_text(raw),
+}
 
 
 def workbook_rows(content: bytes) -> Iterator[tuple[str, int, dict[str, str | None]]]:
-    """``(sheet, row number, cells by header)`` of the visible sheets of one workbook."""
+    """``(sheet, row number, cells by header)`` of the visible sheets of one workbook, read row by row."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        shared = _xml(book, "xl/sharedStrings.xml")
-        strings = [] if shared is None else [_joined_text(item) for item in shared.iter(_MAIN + "si")]
-        sheets = _visible_sheets(book)
-        if not sheets:
+        parts = {r.get("Id"): posixpath.join("/xl", r.get("Target", ""))[1:] for r in _stream(book, "xl/_rels/workbook.xml.rels", _PACKAGE + "Relationship")}
+        shown = [(s.get("name"), s.get(_LINK + "id")) for s in _stream(book, "xl/workbook.xml", _MAIN + "sheet") if s.get("state") in (None, "visible")]
+        if not shown:
             raise ValueError("workbook has no visible sheet")
-        for sheet, member in sheets:
-            header: dict[int, str] | None = None
-            number = 0
-            for row in _xml(book, member).iter(_MAIN + "row"):
-                cells = {_column(cell.get("r", "A1")): _value(cell, strings) for cell in row.iter(_MAIN + "c")}
-                if header is None:
-                    width = max(cells, default=0)
-                    header = {i: (cells.get(i) or "").strip() for i in range(1, width + 1)}
-                    names = list(header.values())
-                    if not names or "" in names or len(set(names)) < len(names) or ROW_NUMBER in names:
-                        raise ValueError(f"unusable header in sheet {sheet}")
-                    continue
-                number += 1
-                yield sheet, number, {name: cells.get(i) for i, name in header.items()}
+        has_strings = "xl/sharedStrings.xml" in book.namelist()
+        strings = [_all_text(item) for item in _stream(book, "xl/sharedStrings.xml", _MAIN + "si")] if has_strings else []
+        for sheet, link in shown:
+            rows = (_row_cells(row, strings) for row in _stream(book, parts[link], _MAIN + "row"))
+            header = {letters: (name or "").strip() for letters, name in next(rows, {}).items()}
+            gap = any(a != b for a, b in zip(header, _letters_in_order(), strict=False))
+            if not header or gap or not all(header.values()) or ROW_NUMBER in header.values() or len({*header.values()}) < len(header):
+                raise ValueError(f"unusable header in sheet {sheet}")
+            for number, cells in enumerate(rows, 1):
+                yield sheet, number, {name: cells.get(letters) for letters, name in header.items()}
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,15 +127,11 @@ def scan_workbooks(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_workbooks(spark: SparkSession, path: str, max_bytes: int = 1_000_000_000) -> tuple[DataFrame, DataFrame]:
-    """All workbooks below a folder; files beyond the size limit are filtered before they are read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.xlsx")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .filter(F.col("length") <= max_bytes)
-    )
-    return scan_workbooks(files)
+    """``(rows, rejects)`` of all workbooks below a folder; a file beyond the size limit is a reject and is not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").option("recursiveFileLookup", "true").load(path)
+    rows, rejects = scan_workbooks(found.filter(F.col("length") <= max_bytes))
+    large = found.filter(F.col("length") > max_bytes)
+    return rows, rejects.unionByName(large.select(F.col("path").alias("file"), F.array(F.lit("too_large")).alias("violations")))
 
 
 def sheet_table(rows: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
