@@ -27,6 +27,8 @@ FIRST_HUBS = 4
 HUB_GROWTH = 32
 #: Members of a bucket that one task compares with its hubs.
 SALT_MEMBERS = 2_000
+#: Bytes of texts that are sketched together.
+SKETCH_BYTES = 2 << 20
 
 _U = np.uint64
 
@@ -107,7 +109,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 def _sketch_rows(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=SKETCH_BYTES):
             owner, shingle, weight, whole = weighted_shingles(batch.column("text"), size)
             signature = sketches(owner, shingle, weight, batch.num_rows, bands * rows)
             key = np.zeros((batch.num_rows, bands), np.uint64)

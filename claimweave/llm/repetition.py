@@ -22,7 +22,7 @@ REPEAT_WORDS = 5
 MAX_COVERED = 0.5
 MAX_REPEAT = 200
 #: Bytes of texts whose suffixes are sorted together.
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 
 
 def suffix_order(symbols: np.ndarray, owner: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
