@@ -17,7 +17,8 @@ from claimweave.session import materialize
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-#: A pair of similarity 0.8 misses all 30 bands of 5 registers with probability 7e-6.
+#: A pair of similarity 0.8 misses all 30 bands of 5 registers with probability 7e-6.  Both measures, the probability
+#: Jaccard and the Jaccard of the sets, have registers, bands and a sketch of their own.
 BANDS = 30
 ROWS = 5
 #: Of its 150 registers such a pair shares fewer than this part (five deviations less) with probability below 1e-6.
@@ -88,6 +89,23 @@ def sketches(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts:
     return kept.reshape(texts, registers)
 
 
+def both_signatures(
+    owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, texts: int, registers: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures by the weights and by weights of 1 (registers of these agree with the Jaccard of the sets).
+
+    Texts without a repeated shingle have one signature for both.
+    """
+    weighted = sketches(owner, shingle, weight, texts, registers)
+    repeats = np.zeros(texts, bool)
+    repeats[owner[weight > 1.0]] = True
+    plain = weighted.copy()
+    if repeats.any():
+        mine, number = repeats[owner], np.cumsum(repeats) - 1
+        plain[repeats] = sketches(number[owner[mine]], shingle[mine], np.ones(int(mine.sum())), int(repeats.sum()), registers)
+    return weighted, plain
+
+
 def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
     """Probability Jaccard of the weights and Jaccard of the sets; shingles are sorted and distinct."""
     _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
@@ -111,15 +129,18 @@ def _sketch_rows(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, limit=SKETCH_BYTES):
             owner, shingle, weight, whole = weighted_shingles(batch.column("text"), size)
-            signature = sketches(owner, shingle, weight, batch.num_rows, bands * rows)
-            key = np.zeros((batch.num_rows, bands), np.uint64)
-            for band in range(bands):
-                for row in range(rows):
-                    key[:, band] = mix(key[:, band] * _U(0xD6E8FEB86659FD93) + signature[:, band * rows + row] + _U(band))
+            signatures = both_signatures(owner, shingle, weight, batch.num_rows, bands * rows)
+            key = np.zeros((batch.num_rows, 2 * bands), np.uint64)
+            for at, signature in zip((0, bands), signatures, strict=True):
+                for band in range(bands):
+                    for row in range(rows):
+                        key[:, at + band] = mix(
+                            key[:, at + band] * _U(0xD6E8FEB86659FD93) + signature[:, band * rows + row] + _U(band)
+                        )
             some = whole[0] != 0
             flat = key[some].ravel().view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))]).astype(np.int32)
-            small = np.ascontiguousarray((signature & _U(0xFF)).astype(np.uint8))
+            offsets = np.concatenate([[0], np.cumsum(np.where(some, 2 * bands, 0))]).astype(np.int32)
+            small = np.ascontiguousarray((np.hstack(signatures) & _U(0xFF)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
@@ -145,9 +166,9 @@ def near_duplicates(
 ) -> DataFrame:
     """``(doc_id, class_id, class_size)``: one row per row of ``docs``.
 
-    Texts of equal words are one node.  Nodes whose ProbMinHash signatures agree in a band are candidates; two
-    candidates are linked if their probability Jaccard or the Jaccard of their sets is ``least`` or more,
-    found from all their shingles.  Classes are the connected components, named by their smallest id.
+    Texts of equal words are one node.  Nodes whose ProbMinHash signatures, by the weights or by weights of 1, agree in
+    a band are candidates; two candidates are linked if their probability Jaccard or the Jaccard of their sets is
+    ``least`` or more, found from all their shingles.  Classes are the connected components, named by their smallest id.
 
     No bucket is expanded into all pairs.  In every round a few *hubs* of each bucket, those of its smallest
     classes first, are compared with all members of other classes that were not hubs yet; members
@@ -173,7 +194,7 @@ def near_duplicates(
     )
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
     first = placed.filter(own == F.col("node")).select("node", "bands", "sketch")
-    buckets = first.select("node", F.explode("bands").alias("bucket"))
+    buckets = first.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Buckets of equal members are one bucket.
     half = F.lit(0xFFFFFFFF)
     content = [
@@ -256,14 +277,14 @@ def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int
                     group, hubs = (keys[0, begin], keys[1, begin]), []
                 if keys[2, begin] == 0:
                     hubs += [
-                        (nodes[i], labels[i], np.frombuffer(sketches_here[i], np.uint8), table[i].copy(), unpack(sets_here[i]))
+                        (nodes[i], labels[i], np.frombuffer(sketches_here[i], np.uint8).reshape(2, registers), table[i].copy(), unpack(sets_here[i]))
                         for i in range(begin, end)
                     ]
                     continue
-                own = np.frombuffer(b"".join(sketches_here[begin:end]), np.uint8).reshape(-1, registers)
+                own = np.frombuffer(b"".join(sketches_here[begin:end]), np.uint8).reshape(-1, 2, registers)
                 joined: set[tuple[int, int]] = set()
                 for hub, hub_label, hub_sketch, hub_buckets, hub_set in hubs:
-                    alike = (own == hub_sketch).sum(axis=1) >= SKETCH_LEAST * registers
+                    alike = ((own == hub_sketch).sum(axis=2) >= SKETCH_LEAST * registers).any(axis=1)
                     rows = np.flatnonzero(alike & (labels[begin:end] != hub_label)) + begin
                     rows = rows[hub_buckets[(table[rows] == hub_buckets).argmax(axis=1)] == group[0]]
                     for i in rows:

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -196,6 +197,42 @@ def test_sketches_estimate_probability_jaccard():
     assert (signature[0] == signature[1]).mean() == pytest.approx(exact, abs=0.03)
 
 
+def test_near_duplicate_links_match_brute_force(spark):
+    rng = np.random.default_rng(11)
+
+    def distinct(family, count):
+        return [f"w{family}x{i}" for i in range(count)]
+
+    texts = []
+    # Equal sets of shingles, of which one passage is repeated a different number of times.
+    for family in range(40):
+        body, passage = distinct(family, 60), distinct(f"p{family}", 50)
+        texts += [" ".join(body + passage * times + passage[:4]) for times in (1, 150)]
+    # Copies with random words replaced: many pairs between 0.6 and 1 alike in common buckets.
+    for family in range(100, 102):
+        base = distinct(family, 400)
+        for copy in range(30):
+            words = list(base)
+            for at in rng.choice(400, rng.integers(0, 16), replace=False):
+                words[at] = f"z{family}x{copy}x{at}"
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    owner, shingle, weight, _ = probminhash.weighted_shingles(pa.array(texts), probminhash.SHINGLE_WORDS)
+    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+    sets = [(shingle[a:b], weight[a:b]) for a, b in itertools.pairwise(cuts)]
+    label = list(range(len(texts)))
+    low = 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        measures = probminhash.similarity(*sets[i], *sets[j])
+        low += measures[0] < 0.7 and measures[1] == 1
+        if max(measures) >= probminhash.SIMILARITY:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    assert low == 40
+    got = {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(rows).collect()}
+    assert got == dict(enumerate(label))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components(links, "a", "b").collect()}
