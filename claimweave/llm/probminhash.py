@@ -186,11 +186,11 @@ def near_duplicates(
         texts.mapInArrow(_sketch_rows(size, bands, rows), "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"),
         "sketches",
     )
-    # A text without words is a node of its own id.
+    # A node is named by the smallest id of its copies, by its hash if none has an id.
     own = F.coalesce(F.col("doc_id"), F.col("k1"))
     spoken = F.size("bands") > 0
     nodes = materialize(
-        sketched.filter(spoken).groupBy("k1", "k2").agg(F.min(own).alias("node"), F.count(F.lit(1)).alias("copies")), "nodes"
+        sketched.filter(spoken).groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.col("k1")).alias("node"), F.count(F.lit(1)).alias("copies")), "nodes"
     )
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
     first = placed.filter(own == F.col("node")).select("node", "bands", "sketch")

@@ -52,7 +52,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the curriculum takes them, one row per copy, in order of their training positions."""
-    return curriculum.training_order(docs, curriculum.mix(docs))
+    return curriculum.training_order(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from claimweave.llm import cotrain, curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
 from claimweave.llm.components import components
 
@@ -257,6 +258,43 @@ def test_mixing_meets_targets(docs, empty):
     assert curriculum.mix(empty).count() == 0
 
 
+def test_training_order_takes_every_row_as_the_mix_does(spark):
+    rows = [(None, prose(100 + i, 5 + 7 * i), "en", "hot", 1, f"n{i}") for i in range(12)]
+    rows += [(3, prose(200 + i, 9 + i % 2), "en", "hot", 1, f"r{i}") for i in range(4)]
+    rows += [(50 + i, prose(300 + i, 20), "en", ("cool", None)[i % 2], 1, f"c{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    target = collections.Counter()
+    size = collections.Counter()
+    for r in curriculum.mix(docs).collect():
+        size[r["source"]] += r["size"]
+        target[r["source"]] = round(r["target"])
+    assert target["hot"] < size["hot"]
+    got = corpus_pipeline.mixing(spark, docs, "").collect()
+    taken, parts = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        taken[r["source"]] += len(r["text"].split())
+        parts[r["n_words"]].append(r["text"])
+        assert r["n_chars"] == len(r["text"]) > 0
+    assert taken == target
+    # All copies of a row are whole but for the one where the stream of its source ends.
+    cut = collections.Counter()
+    for _, text, _, source, _, name in rows:
+        for part in parts[name]:
+            assert text.startswith(part)
+            cut[source] += part != text
+    assert max(cut.values()) <= 1
+    assert sorted(map(str, got)) == sorted(map(str, corpus_pipeline.mixing(spark, docs.repartition(3), "").collect()))
+
+
+def test_near_duplicates_of_null_ids_keep_their_links(spark):
+    texts = [prose(400 + i, 60) for i in range(12)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, t) for t in texts] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = probminhash.near_duplicates(docs).collect()
+    assert {(r["doc_id"], r["class_id"]) for r in got if r["doc_id"] is not None} == {(d, d % 100) for d, _ in rows if d is not None}
+    assert sorted(r["class_id"] for r in got if r["doc_id"] is None) == list(range(12))
+
+
 def test_schedule_inversion(spark):
     for schedule in curriculum.SCHEDULES:
         total = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in itertools.pairwise(schedule))
