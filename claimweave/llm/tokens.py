@@ -75,8 +75,10 @@ class Encoder:
         """Units of a text, or None where it must stay whole."""
         raw = text.encode()
         if self.words:
-            # The tokenizer lowers letters itself; special strings are matched before that.
-            return (raw if b"<|" in raw else raw.lower()).split()
+            # The tokenizer lowers letters itself; special strings are matched before that, and marks are composed.
+            if b"<|" in raw:
+                return raw.split()
+            return raw.lower().split() if raw.isascii() else [unit.lower() if unit.isascii() else unit for unit in raw.split()]
         return None if _RARE_SPACE.search(text) else _SPACED.findall(raw)
 
     def whole(self, text: str) -> bytes:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from claimweave.llm import cotrain, curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
+from claimweave.llm import cotrain, curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts, tokens
 from claimweave.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_words string"
@@ -70,6 +70,14 @@ def test_token_counts_match_the_library(docs, empty):
     assert token_counts.count_tokens(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_decomposed_capitals_match_the_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    for text in ("J\u030c ab", "xH\u0331 T\u0308 W\u030a Y\u030ax Plain WORDS", "\u00c9T\u00c9 E\u0301T"):
+        ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert tokens.Encoder(path).encode([text]) == [ids]
+
+
 def library_ids(text, end):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     return np.array([*library.encode(text, add_special_tokens=False).ids, end], "<u4")
