@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import cotrain, curriculum, imatch, language, orc_tokens, packing, probminhash, recompress, repetition, token_counts
+from claimweave.llm import cotrain, curriculum, imatch, language, line_dedup, orc_tokens, packing, probminhash, recompress, repetition, token_counts
 from claimweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,34 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orc-tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path, public_tokenizers.path(WORD_TOKENIZER), end_id=2)
     return orc_tokens.read_digests(spark, path)
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least ten of them share."""
+    kept = line_dedup.drop_frequent_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_line_dedup"] = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT r, u.position AS position, u.line AS line
+  FROM texts, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(line, position)
+), keyed AS (
+  SELECT r, position, line,
+    translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10
+), marked AS (
+  SELECT r, position, line, key IN (SELECT key FROM frequent) AS gone FROM keyed
+), joined AS (
+  SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+    coalesce(string_agg(line, chr(10) ORDER BY position) FILTER (WHERE NOT gone), '') AS kept
+  FROM marked GROUP BY r
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM texts JOIN joined USING (r)
+"""
