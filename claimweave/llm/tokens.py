@@ -16,15 +16,27 @@ import pyarrow.compute as pc
 CACHE_UNITS = 600_000
 #: Bytes of distinct units that are joined into one string for the library, and of texts in one step.
 JOIN_BYTES = 4096
+JOIN_UNITS = 1024
 STEP_BYTES = 4 << 20
 
-# White space of the tokenizers' pattern that is not space, tab, line feed or carriage return,
-# and the control characters that other definitions count as white space.
-_RARE_SPACE = re.compile(
-    r"[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]"
-)
-_SPACED = re.compile(rb"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
-_WORD_AND_MARK = re.compile(rb"([a-z]+)([.,!?;:])")
+# White space of the tokenizers' pattern that is not ASCII, and ASCII controls that are, or that
+# other definitions count as white space.
+_WIDE_SPACE = "\x85\xa0  -     　"
+_ODD_ASCII = re.compile(r"[\x1c-\x1f]")
+_ODD_RUN = re.compile(rf"[\x0b\x0c\x1c-\x1f]|[{_WIDE_SPACE}](?=[ \t\n\r])")
+_MARKS = re.compile("[̀-ͯ]")
+# The tokenizers' own patterns (fixed values) on ASCII; words with other letters stay whole.
+_BYTES = rb"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
+_BYTES_ASCII = re.compile(_BYTES)
+_BYTES_MIXED = re.compile(rb"[ \t\n\r]*[^ \t\n\r]*[\x80-\xff][^ \t\n\r]*|" + _BYTES)
+_WORDS = rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
+_WORDS_ASCII = re.compile(_WORDS)
+_WORDS_MIXED = re.compile(rb"(?<!\S)\S*[\x80-\xff]\S*|" + _WORDS)
+# Letters U+00C0 to U+024F, but for the one that lower-casing splits; with marks after them.
+_LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc9[\x80-\x8f])+"
+_MARK = rb"[!-/:-@\[-`{-~]+"
+_WORD_AND_MARK = re.compile(rb"(%s)(%s)" % (_LETTERS, _MARK))
+_ONE_WORD = re.compile(rb"%s|[0-9]|%s" % (_MARK, _LETTERS))
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -46,29 +58,39 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
 class Encoder:
     """Ids of whole texts, exactly as the library gives them for the whole text.
 
-    A text is cut at *safe* boundaries, where no token can reach across:
+    A text is cut into *units* that no token can reach across.  ASCII words are cut as the tokenizer's own
+    pattern cuts them:
 
-    * words kind (white space is dropped by the tokenizer): at every run of ASCII white space;
-    * bytes kind (byte-level pattern): before a run of space, tab or line ends that follows
-      another character.  A text with any other white space is encoded in one piece, because
-      such a run would be looked at as a whole.
+    * words kind (white space is dropped, letters are lowered): letters, single digits and runs of marks;
+      a word with any other letter stays whole, with the marks on it;
+    * bytes kind (byte-level pattern): the same with the space before; a word with any other letter stays whole,
+      with the white space before it.  A text where white space of both kinds meets is encoded in one piece.
 
     The distinct units of a step that the cache does not hold are joined by a special token and
     given to the library in batches of about equal bytes.  Units that themselves hold the start
     of a special string go through the library one by one, so these strings are handled
-    as the library does by default.
+    as the library does by default, or as text (``plain``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.single = self.library
+        if plain:
+            self.single = Tokenizer.from_file(path)
+            self.single.no_truncation()
+            self.single.no_padding()
+            self.single.encode_special_tokens = True
         spec = json.loads(self.library.to_str())
         self.words = spec["normalizer"] is not None
         special = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
         self.separator, self.separator_id = special[-1]["content"], special[-1]["id"]
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
     def units(self, text: str) -> list[bytes] | None:
@@ -78,20 +100,52 @@ class Encoder:
             # The tokenizer lowers letters itself; special strings are matched before that, and marks are composed.
             if b"<|" in raw:
                 return raw.split()
-            return raw.lower().split() if raw.isascii() else [unit.lower() if unit.isascii() else unit for unit in raw.split()]
-        return None if _RARE_SPACE.search(text) else _SPACED.findall(raw)
+            if raw.isascii():
+                return _WORDS_ASCII.findall(raw.lower())
+            if _MARKS.search(text):
+                return [unit.lower() if unit.isascii() else unit for unit in raw.split()]
+            return _WORDS_MIXED.findall(raw.lower())
+        if b"<|" in raw:
+            return None
+        if raw.isascii():
+            return None if _ODD_ASCII.search(text) else _BYTES_ASCII.findall(raw)
+        return None if _ODD_RUN.search(text) else _BYTES_MIXED.findall(raw)
 
     def whole(self, text: str) -> bytes:
-        return array.array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array.array("I", self.single.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Ids of units that the cache lacks; a word with other letters and the marks after it are looked up apart."""
+        if not self.words:
+            self._learn_units(missing)
+            return
+        parts = {unit: match.groups() for unit in missing if not unit.isascii() and (match := _WORD_AND_MARK.fullmatch(unit))}
+        wanted = {part for pair in parts.values() for part in pair if part not in self.cache}.difference(missing)
+        self._learn_units(self._learn_words([*(unit for unit in missing if unit not in parts), *wanted]))
+        self.cache.update((unit, self.cache[word] + self.cache[mark]) for unit, (word, mark) in parts.items())
+
+    def _learn_words(self, missing: list[bytes]) -> list[bytes]:
+        """Ids of units that are one word of the tokenizer each: joined by spaces, cut after tokens that close a word; returns the others."""
+        plain = [unit for unit in missing if _ONE_WORD.fullmatch(unit) and b"<|" not in unit]
+        groups = [plain[i : i + JOIN_UNITS] for i in range(0, len(plain), JOIN_UNITS)]
+        texts = [b" ".join(group).decode() for group in groups]
+        for group, encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
+            if len(ends) != len(group):
+                raise ValueError("a unit holds more than one word")
+            raw = ids.tobytes()
+            ends = ends.tolist()
+            self.cache.update((unit, raw[b:e]) for unit, b, e in zip(group, [0, *ends], ends, strict=False))
+        return [unit for unit in missing if unit not in self.cache]
 
-    def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of units: joined, encoded in batches and cut again at the separator."""
-        found: dict[bytes, bytes] = {}
+    def _learn_units(self, missing: list[bytes]) -> None:
+        """Ids of units: joined by a special token, encoded in batches and cut again there."""
         groups: list[list[bytes]] = [[]]
         size = 0
         for unit in missing:
             if b"<|" in unit:
-                found[unit] = self.whole(unit.decode())
+                self.cache[unit] = self.whole(unit.decode())
                 continue
             if size + len(unit) > JOIN_BYTES and groups[-1]:
                 groups.append([])
@@ -107,41 +161,18 @@ class Encoder:
             raw = ids.tobytes()
             begins = [0, *((cuts + 1) * 4).tolist()]
             ends = [*(cuts * 4).tolist(), len(raw)]
-            found.update((unit, raw[b:e]) for unit, b, e in zip(group, begins, ends, strict=True))
-        return found
-
-    def _fill(self, missing: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all missing units; in the words kind a word and its closing mark are looked up apart."""
-        parts: dict[bytes, tuple[bytes, bytes]] = {}
-        if self.words:
-            for unit in missing:
-                match = _WORD_AND_MARK.fullmatch(unit)
-                if match:
-                    parts[unit] = match.groups()
-        wanted = (missing - parts.keys()) | {p for pair in parts.values() for p in pair if p not in self.cache}
-        known = self._learn(sorted(wanted - self.cache.keys()))
-        get = self.cache.get
-        for unit, (word, mark) in parts.items():
-            known[unit] = (known.get(word) or get(word)) + (known.get(mark) or get(mark))
-        room = CACHE_UNITS - len(self.cache)
-        if room > 0:
-            self.cache.update(zip(known.keys(), known.values(), strict=True) if len(known) <= room else list(known.items())[:room])
-        return known
+            self.cache.update((unit, raw[b:e]) for unit, b, e in zip(group, begins, ends, strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text (null: none)."""
         cut = [self.units(text) if text else [] for text in texts]
-        seen: set[bytes] = set()
-        for units in cut:
-            if units:
-                seen.update(units)
-        missing = seen - self.cache.keys()
-        extra = self._fill(missing) if missing else {}
-        get, both = self.cache.__getitem__, self.cache
-        if extra:
-            local = {unit: both[unit] for unit in seen - missing}
-            local.update((unit, extra[unit]) for unit in missing)
-            get = local.__getitem__
+        seen = set().union(*filter(None, cut))
+        missing = [unit for unit in seen if unit not in self.cache]
+        if missing:
+            if len(self.cache) + len(missing) > CACHE_UNITS:  # what this step uses stays
+                self.cache = {unit: self.cache[unit] for unit in seen if unit in self.cache}
+            self._learn(missing)
+        get = self.cache.__getitem__
         return [self.whole(text) if units is None else b"".join(map(get, units)) for text, units in zip(texts, cut, strict=True)]
 
 
