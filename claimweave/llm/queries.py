@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm import alignment, cotrain, curriculum, imatch, language, line_dedup, orc_tokens, packing, probminhash, recompress, repetition, token_counts
+from claimweave.llm import alignment, cotrain, curriculum, hard_negatives, imatch, language, line_dedup, orc_tokens, packing, probminhash, recompress, repetition, token_counts
 from claimweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,44 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.read_digests(spark, path)
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, over all vectors, with the labels of every seventh moved on by one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    infinite = F.lit(float("inf"))
+    x = F.col("embedding").cast("array<double>")
+    finite = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == infinite))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    usable = rows.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite)
+    whole = usable.select("vec_id", label.alias("label"), F.transform(x, lambda v: F.floor(v * 256)).alias("vector"))
+    return hard_negatives.mine(whole, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH rows AS (
+  SELECT row_number() OVER () AS r, vec_id,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.r <> b.r WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT ar, anchor_id, br AS pr, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id, br) <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.positive_id, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY n.score DESC, n.vec_id, n.br) AS rank
+  FROM positives p JOIN scored n ON p.ar = n.ar AND NOT n.same
+   AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 3
+"""
+
+
 @query
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links between the tokens of a byte-level and a sentencepiece vocabulary, per document."""
