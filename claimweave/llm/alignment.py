@@ -24,9 +24,9 @@ from claimweave.llm.tokens import Encoder, steps
 from claimweave.session import materialize
 
 #: Ends of both tokenizers in one piece.
-PIECE_ENDS = 1 << 17
+PIECE_ENDS = 1 << 15
 #: Bytes of text whose documents share one key (a longer document has its own), and that are merged at once.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 #: Bytes after which a text is cut at the next safe boundary.
 SEGMENT_BYTES = 1 << 20
 _RARE = r"\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
@@ -42,6 +42,24 @@ class Tokens(NamedTuple):
     b_lens: np.ndarray
 
 
+class _Spelling:
+    """Bytes of every token of a vocabulary."""
+
+    def __init__(self, names: list[bytes]):
+        self.lens = np.array([len(x) for x in names], "<u4")
+        self.begin = np.cumsum(self.lens, dtype=np.int64) - self.lens
+        self.letters = np.frombuffer(b"".join(names), np.uint8)
+
+    def sizes(self, ids: np.ndarray, raw: np.ndarray) -> np.ndarray | None:
+        """Bytes of each token, or ``None`` where the tokens do not spell ``raw``."""
+        lens = self.lens[ids]
+        ends = np.cumsum(lens, dtype=np.int64)
+        if not len(ids) or ends[-1] != len(raw) or not lens.all():
+            return None
+        at = np.arange(len(raw)) + np.repeat(self.begin[ids] - ends + lens, lens)
+        return lens if np.array_equal(self.letters[at], raw) else None
+
+
 class PairEncoder:
     """Both tokenizers over the same texts, in segments.
 
@@ -58,16 +76,15 @@ class PairEncoder:
         letters = _byte_letters()
         size = self.a.library.get_vocab_size(with_added_tokens=True)
         names = [self.a.library.id_to_token(i) or "" for i in range(size)]
-        self.a_bytes = [bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names]
+        a_bytes = [bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [
+        b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(pieces)
         ]
         crossing = re.compile("[^▁\t\n\r][▁\t\n]")
         self.cuts = not any(crossing.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], "<u4")
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], "<u4")
+        self.a_spelled, self.b_spelled = _Spelling(a_bytes), _Spelling(b_bytes)
 
     def encode(self, texts: list[str | None]) -> list[list[Tokens] | None]:
         """Tokens of every whole text with one space before it, in parts that follow each other.
@@ -84,12 +101,9 @@ class PairEncoder:
         for segment, begins, a_raw, b_ids in zip(flat, first, a, b, strict=True):
             a_ids = np.frombuffer(a_raw, "<u4")
             ids = np.array(b_ids if begins else b_ids[1:], "<u4")
-            tokens = Tokens(a_ids, self.a_sizes[a_ids], ids, self.b_sizes[ids])
-            raw = segment.encode()
-            spelled = all(
-                b"".join(map(table.__getitem__, row.tolist())) == raw for table, row in ((self.a_bytes, a_ids), (self.b_bytes, ids))
-            )
-            found.append(tokens if spelled and tokens.a_lens.all() and tokens.b_lens.all() else None)
+            raw = np.frombuffer(segment.encode(), np.uint8)
+            a_lens, b_lens = self.a_spelled.sizes(a_ids, raw), self.b_spelled.sizes(ids, raw)
+            found.append(None if a_lens is None or b_lens is None else Tokens(a_ids, a_lens, ids, b_lens))
         at = 0
         out = []
         for segments in cut:
@@ -362,6 +376,16 @@ class _Groups:
         return ids * 3 + marks, last_a + last_b, ends
 
 
+_NAMES: list[bytes] = []
+
+
+def _names(most: int) -> list[bytes]:
+    """Ids with the separator after them, by ``_Groups`` codes; one entry per id and separator of the vocabularies."""
+    if len(_NAMES) <= most:
+        _NAMES.extend(b"%d%s" % (code // 3, _Groups._SEPARATORS[code % 3]) for code in range(len(_NAMES), 2 * most + 1))
+    return _NAMES
+
+
 def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
     rows = stored.to_pylist()
     rows.sort(key=lambda r: r["piece"])
@@ -378,7 +402,6 @@ def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
     full_ends = doc_ends[full]
     totals = {name: np.zeros(n, np.int64) for name in ("n_groups", "n_links", "n_best", "count_sum")}
     digests = {}
-    names: dict[int, bytes] = {}
     groups = _Groups()
 
     def add(name: str, ends: np.ndarray, values: np.ndarray | None = None) -> None:
@@ -399,10 +422,7 @@ def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
         add("n_groups", group_ends)
         if not len(group_ends):
             continue
-        for code in np.unique(codes).tolist():
-            if code not in names:
-                names[code] = b"%d%s" % (code // 3, _Groups._SEPARATORS[code % 3])
-        written = list(map(names.__getitem__, codes.tolist()))
+        written = list(map(_names(int(codes.max())).__getitem__, codes.tolist()))
         owners = full[np.searchsorted(full_ends, group_ends)]
         last = np.flatnonzero(np.append(owners[1:] != owners[:-1], True))
         begin = 0

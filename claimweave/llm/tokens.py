@@ -78,12 +78,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.single = self.library
-        if plain:
-            self.single = Tokenizer.from_file(path)
-            self.single.no_truncation()
-            self.single.no_padding()
-            self.single.encode_special_tokens = True
+        self.path, self.plain, self.single = path, plain, self.library
         spec = json.loads(self.library.to_str())
         self.words = spec["normalizer"] is not None
         special = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
@@ -112,6 +107,13 @@ class Encoder:
         return None if _ODD_RUN.search(text) else _BYTES_MIXED.findall(raw)
 
     def whole(self, text: str) -> bytes:
+        if self.plain and self.single is self.library:
+            from tokenizers import Tokenizer
+
+            self.single = Tokenizer.from_file(self.path)
+            self.single.no_truncation()
+            self.single.no_padding()
+            self.single.encode_special_tokens = True
         return array.array("I", self.single.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, missing: list[bytes]) -> None:

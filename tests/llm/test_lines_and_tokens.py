@@ -75,7 +75,8 @@ def plain_tokens(models, text):
     if not text:
         return None
     ids_a, ids_b = a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)
-    lens_a, lens_b = [encoder.a_bytes[i] for i in ids_a], [encoder.b_bytes[i] for i in ids_b]
+    spell = lambda table, i: table.letters[table.begin[i] : table.begin[i] + table.lens[i]].tobytes()
+    lens_a, lens_b = [spell(encoder.a_spelled, i) for i in ids_a], [spell(encoder.b_spelled, i) for i in ids_b]
     raw = b" " + text.encode()
     if b"".join(lens_a) != raw or b"".join(lens_b) != raw:
         return None
