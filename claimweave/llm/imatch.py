@@ -79,8 +79,8 @@ def likeness(one: Column, two: Column) -> Column:
 def _ranges(docs: DataFrame) -> DataFrame:
     """Rows with ``_range`` and ``_guest``: ranges of the id, each with the first row of the next one as a guest.
 
-    Borders are ids themselves, found by approximate percentiles (any borders give the same result; they
-    only balance the ranges), so ``lead`` within a range sees every next document.  The first
+    Borders are ids themselves: the smallest id of every range that approximate percentiles cut (any such borders
+    give the same result; they only balance the ranges), so ``lead`` within a range sees every next document.  The first
     document of all is the guest of the last range.
     """
     spark = docs.sparkSession
@@ -90,8 +90,11 @@ def _ranges(docs: DataFrame) -> DataFrame:
     shares = [i / wanted for i in range(1, wanted)]
     borders: list[int] = []
     if shares and size[1] is not None:
-        found = docs.agg(F.percentile_approx("doc_id", shares, 10 * wanted)).first()[0] or []
-        borders = sorted({b for b in found if b > size[1]})
+        found = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 10 * wanted)).first()[0] or []))
+        # Percentiles are doubles and may be no ids; one row per range comes back.
+        cut = F.array(*[F.lit(b).cast("bigint") for b in found])
+        coarse = docs.filter("doc_id is not null").groupBy(F.size(F.filter(cut, lambda b: b <= F.col("doc_id"))).alias("range"))
+        borders = sorted(r["least"] for r in coarse.agg(F.min("doc_id").alias("least")).collect() if r["least"] > size[1])
     number = F.lit(0)
     known = F.array(*[F.lit(b).cast("bigint") for b in borders]) if borders else None
     if known is not None:

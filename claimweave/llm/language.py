@@ -89,7 +89,7 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, id_col: s
     """Learn from rows that are not held out and have a language and a letter; None without any.
 
     The sample is bounded by ``sample`` rows: each language gives an equal part, those of the
-    smallest hashes of their ids.
+    smallest hashes of their ids and texts, so rows of one id or of none are drawn one by one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -97,7 +97,7 @@ def fit(docs: DataFrame, buckets: int = BUCKETS, sample: int = SAMPLE, id_col: s
     if not counts:
         return None
     part = max(1, sample // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(1 << 30))
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (draw < int(min(1.0, part / n) * (1 << 30))))

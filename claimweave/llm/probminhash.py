@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
@@ -144,12 +144,14 @@ def _sketch_rows(size: int, bands: int, rows: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("t1"),
+                    batch.column("t2"),
                     pa.array(whole[0].view(np.int64)),
                     pa.array(whole[1].view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     pa.array([row.tobytes() for row in small], pa.binary()),
                 ],
-                ["doc_id", "k1", "k2", "bands", "sketch"],
+                ["doc_id", "t1", "t2", "k1", "k2", "bands", "sketch"],
             )
 
     return run
@@ -164,11 +166,12 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """``(doc_id, class_id, class_size)``: one row per row of ``docs``.
+    """``(doc_id, class_id, class_size, class_key, t1, t2)``: one row per row of ``docs``.
 
-    Texts of equal words are one node.  Nodes whose ProbMinHash signatures, by the weights or by weights of 1, agree in
+    Texts of equal words are one node, named by a row of the stored sketches.  Nodes whose ProbMinHash signatures, by the weights or by weights of 1, agree in
     a band are candidates; two candidates are linked if their probability Jaccard or the Jaccard of their sets is
-    ``least`` or more, found from all their shingles.  Classes are the connected components, named by their smallest id.
+    ``least`` or more, found from all their shingles.  Classes are the connected components; ``class_id`` is their smallest id,
+    ``class_key`` a number of their own, and ``t1``, ``t2`` are 128 bits of the text of the row (``text_keys``).
 
     No bucket is expanded into all pairs.  In every round a few *hubs* of each bucket, those of its smallest
     classes first, are compared with all members of other classes that were not hubs yet; members
@@ -178,22 +181,17 @@ def near_duplicates(
     all shingles, within the task that holds a part of the bucket; only links leave it.
 
     Null and empty texts have no words and stand alone; texts of fewer than ``size`` words match equal word
-    sequences only; repeated rows fall into one class; a null id stands alone unless a copy has an id; an
-    empty table gives an empty table.  Ids are expected to be unique otherwise.
+    sequences only; repeated rows fall into one class; rows without an id are compared like all others, and so are
+    different texts under one id; a class without any id has a negative ``class_id``; an empty table gives an empty table.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketched = materialize(
-        texts.mapInArrow(_sketch_rows(size, bands, rows), "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"),
-        "sketches",
-    )
-    # A node is named by the smallest id of its copies, by its hash if none has an id.
-    own = F.coalesce(F.col("doc_id"), F.col("k1"))
+    schema = "doc_id bigint, t1 bigint, t2 bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+    sketched = texts.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(_sketch_rows(size, bands, rows), schema)
+    sketched = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
     spoken = F.size("bands") > 0
-    nodes = materialize(
-        sketched.filter(spoken).groupBy("k1", "k2").agg(F.coalesce(F.min("doc_id"), F.col("k1")).alias("node"), F.count(F.lit(1)).alias("copies")), "nodes"
-    )
+    nodes = materialize(sketched.filter(spoken).groupBy("k1", "k2").agg(F.min("row").alias("node")), "nodes")
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
-    first = placed.filter(own == F.col("node")).select("node", "bands", "sketch")
+    first = placed.filter(F.col("row") == F.col("node")).select("node", "doc_id", "k1", "k2", "bands", "sketch")
     buckets = first.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Buckets of equal members are one bucket.
     half = F.lit(0xFFFFFFFF)
@@ -208,8 +206,9 @@ def near_duplicates(
     full = materialize(several.groupBy("n", "a", "b", "c", "d").agg(F.min("bucket").alias("bucket")).select("bucket"), "full-buckets")
     members = materialize(buckets.join(full, "bucket", "left_semi").distinct(), "members")
 
-    wanted = materialize(members.select("node").distinct(), "candidates")
-    is_wanted = KeyFilter(wanted, F.col("node"), wanted.count())
+    wanted = first.select("node", "doc_id").join(members.select("node").distinct(), "node")
+    wanted = materialize(wanted.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id")), "candidates")
+    is_wanted = KeyFilter(wanted, F.col("id"), wanted.count())
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
@@ -222,29 +221,37 @@ def near_duplicates(
                 owner, short, weight = owner[first_of], short[first_of], weight[first_of].astype("<f2")
                 cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
                 packed = [short[a:b].tobytes() + weight[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(packed, pa.binary())], ["node", "shingles"])
+                keys = [pa.array(k.view(np.int64)) for k in whole]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(packed, pa.binary())], ["k1", "k2", "shingles"])
 
-    # The filter lets a few others through; the joins by node drop them.
-    stored = (
-        texts.filter("doc_id is not null").mapInArrow(sets, "node bigint, shingles binary").dropDuplicates(["node"])
-    )
+    # The filter, by the id of one row of each node, lets a few others through; the joins by words drop them.
+    stored = texts.mapInArrow(sets, "k1 bigint, k2 bigint, shingles binary").dropDuplicates(["k1", "k2"])
     # Which buckets a node is in, by band; a pair is compared in the first that both are in, and there only.
     own_buckets = members.groupBy("node").agg(F.collect_set("bucket").alias("_in"))
     elsewhere = F.transform(
         "bands", lambda key: F.when(F.array_contains("_in", key), key).otherwise(F.xxhash64(F.col("node"), key))
     )
-    small = first.join(own_buckets, "node").select("node", "sketch", elsewhere.alias("buckets")).dropDuplicates(["node"])
-    stored = materialize(small.join(stored, "node"), "compared-nodes")
+    small = first.join(own_buckets, "node").select("node", "k1", "k2", "sketch", elsewhere.alias("buckets"))
+    stored = materialize(small.join(stored, ["k1", "k2"]).drop("k1", "k2"), "compared-nodes")
     classes = _classes(members, stored, least, bands * rows)
-    named = placed.select("doc_id", "node")
+    named = placed.select("doc_id", "t1", "t2", "node")
     if classes is None:
-        named = named.withColumn("class_id", F.col("node"))
+        named = named.withColumnRenamed("node", "class_key")
     else:
-        named = named.join(classes, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
+        named = named.join(classes, "node", "left").select("doc_id", "t1", "t2", F.coalesce("label", "node").alias("class_key"))
     named = materialize(named, "named")
-    grouped = materialize(named.groupBy("class_id").agg(F.count(F.lit(1)).alias("class_size")), "class-sizes")
-    silent = sketched.filter(~spoken).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"))
-    return named.join(grouped, "class_id").select("doc_id", "class_id", "class_size").unionByName(silent)
+    unnamed = -1 - F.col("class_key")
+    grouped = named.groupBy("class_key").agg(F.count(F.lit(1)).alias("class_size"), F.min("doc_id").alias("least"))
+    grouped = materialize(grouped.select("class_key", F.coalesce("least", unnamed).alias("class_id"), "class_size"), "class-sizes")
+    silent = sketched.filter(~spoken).withColumnRenamed("row", "class_key")
+    silent = silent.withColumn("class_id", F.coalesce("doc_id", unnamed)).withColumn("class_size", F.lit(1).cast("bigint"))
+    columns = ["doc_id", "class_id", "class_size", "class_key", "t1", "t2"]
+    return named.join(grouped, "class_key").select(*columns).unionByName(silent.select(*columns))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits of a text as two columns."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2")]
 
 
 def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int) -> DataFrame | None:
@@ -334,13 +341,23 @@ def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int
         hubs *= HUB_GROWTH
 
 
-def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One document of every class, that of the smallest id; the columns of ``docs``.
+def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of every class of ``near_duplicates(docs)``, that of the smallest id, null last; the columns of ``docs``.
 
-    Rows without an id are kept.  Of repeated rows of the kept id one stays.
+    A row is known by its id and its whole text, so null and repeated ids lose no text; of repeated rows of the
+    kept one one stays. Texts without words are all kept. Names that begin with ``__keep`` are its own.
     """
-    heads = classes.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("_head")).agg(F.count(F.lit(1)).alias("_rows"))
-    kept = docs.join(materialize(heads, "heads"), docs[id_col] == F.col("_head"))
-    once = kept.filter("_rows = 1").select(*docs.columns)
-    more = kept.filter("_rows > 1").dropDuplicates([id_col]).select(*docs.columns)
-    return once.unionByName(more).unionByName(docs.filter(docs[id_col].isNull()))
+    own = [F.col("doc_id").isNull().alias("n"), "doc_id", "t1", "t2"]
+    rows = classes.groupBy("class_key", "doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("rows"))
+    heads = rows.groupBy("class_key").agg(F.min(F.struct(*own, "rows")).alias("head")).select("head.*")
+    heads = heads.groupBy("doc_id", "t1", "t2").agg(F.max("rows").alias("rows"))
+    heads = materialize(heads.toDF("__keep_id", "__keep_t1", "__keep_t2", "__keep_rows"), "heads")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    spoken = text.rlike(r"[^\x20\x09-\x0D]")
+    one, two = text_keys(text)
+    keyed = docs.filter(spoken).withColumns({"__keep_1": one, "__keep_2": two})
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__keep_id"))
+    kept = keyed.join(heads, same & (F.col("__keep_1") == F.col("__keep_t1")) & (F.col("__keep_2") == F.col("__keep_t2")))
+    once = kept.filter("__keep_rows = 1").select(*docs.columns)
+    more = kept.filter("__keep_rows > 1").dropDuplicates(["__keep_id", "__keep_1", "__keep_2"]).select(*docs.columns)
+    return once.unionByName(more).unionByName(docs.filter(~spoken))

@@ -35,7 +35,7 @@ def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op2_probminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probminhash.near_duplicates(documents(spark, sf_dir))
+    return probminhash.near_duplicates(documents(spark, sf_dir)).drop("t1", "t2")
 
 
 @query
