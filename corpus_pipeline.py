@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class."""
-    return probminhash.keep_one(docs, probminhash.near_duplicates(docs))
+    return _guarded(docs, lambda rows: probminhash.keep_one(rows, probminhash.near_duplicates(rows)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the curriculum takes them, one row per copy, in order of their training positions."""
-    return curriculum.training_order(docs)
+    return _guarded(docs, curriculum.training_order)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
