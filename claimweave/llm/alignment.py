@@ -27,6 +27,9 @@ from claimweave.session import materialize
 PIECE_ENDS = 1 << 15
 #: Bytes of text whose documents share one key (a longer document has its own), and that are merged at once.
 STEP_BYTES = 4 << 20
+#: Bytes of texts that are encoded at once, and units that the encoder of A keeps.
+ENCODE_BYTES = 2 << 20
+CACHE_UNITS = 250_000
 #: Bytes after which a text is cut at the next safe boundary.
 SEGMENT_BYTES = 1 << 20
 _RARE = r"\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
@@ -71,7 +74,7 @@ class PairEncoder:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a = Encoder(a_path, plain=True)
+        self.a = Encoder(a_path, plain=True, cache_units=CACHE_UNITS)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         letters = _byte_letters()
         size = self.a.library.get_vocab_size(with_added_tokens=True)
@@ -298,7 +301,7 @@ def encode_pieces(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = P
         context = TaskContext.get()
         key = (context.partitionId() if context else 0) << 32
         step = _Step(key, piece_ends)
-        for batch in steps(batches):
+        for batch in steps(batches, limit=ENCODE_BYTES):
             texts = batch.column("text").to_pylist()
             for doc_id, text, parts in zip(batch.column("doc_id").to_pylist(), texts, encoder.encode(texts), strict=True):
                 if step.bytes and step.bytes + len(text or "") > STEP_BYTES:

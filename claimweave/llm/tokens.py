@@ -72,13 +72,14 @@ class Encoder:
     as the library does by default, or as text (``plain``).
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str, plain: bool = False, cache_units: int = CACHE_UNITS):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.path, self.plain, self.single = path, plain, self.library
+        self.cache_units = cache_units
         spec = json.loads(self.library.to_str())
         self.words = spec["normalizer"] is not None
         special = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
@@ -171,7 +172,7 @@ class Encoder:
         seen = set().union(*filter(None, cut))
         missing = [unit for unit in seen if unit not in self.cache]
         if missing:
-            if len(self.cache) + len(missing) > CACHE_UNITS:  # what this step uses stays
+            if len(self.cache) + len(missing) > self.cache_units:  # what this step uses stays
                 self.cache = {unit: self.cache[unit] for unit in seen if unit in self.cache}
             self._learn(missing)
         get = self.cache.__getitem__
