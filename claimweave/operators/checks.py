@@ -176,7 +176,7 @@ def unknown_names(references: Column, known: Column) -> Column:
 
 
 def matching_definitions(runs: DataFrame, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Status gate: the bound definition must exist with equal digest and be approved."""
+    """Status gate: run and bound definition must be approved, and the definition must exist with equal digest."""
     bound = definitions.select(
         F.col("ontology_id"), F.col("version"), F.col("digest").alias("_digest"), F.col("status").alias("_status")
     )
@@ -186,6 +186,7 @@ def matching_definitions(runs: DataFrame, definitions: DataFrame) -> tuple[DataF
         reasons(
             not_executable=~F.coalesce(F.col("status").isin("approved", "approved-for-demo"), F.lit(False)),
             unknown_definition=F.col("_digest").isNull(),
+            definition_not_executable=F.col("_digest").isNotNull() & ~F.coalesce(F.col("_status").isin("approved", "approved-for-demo"), F.lit(False)),
             digest_mismatch=F.col("_digest").isNotNull() & ~F.col("_digest").eqNullSafe(F.col("digest")),
         ),
     ).drop("_digest", "_status")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.functions.canonical import canonical_json
+from claimweave.functions.canonical import canonical_json, multiset_fingerprint, row_digest
 from claimweave.functions.conditions import row_filter
 from claimweave.functions.transforms import (
     Compiled,
@@ -21,6 +22,7 @@ from claimweave.functions.transforms import (
     required_string,
 )
 from claimweave.operators.attach import attach_children, attach_collections, collect_codes, dedup_or_conflict
+from claimweave.operators.profile import schema_fingerprint
 from claimweave.operators.scale import count_per_key, reasons
 from claimweave.session import materialize
 
@@ -166,17 +168,32 @@ def _rejects(resource: str, df: DataFrame) -> DataFrame:
 
 
 def run_mapping(
-    resources: Mapping[str, DataFrame], mapping: Mapping[str, Any], *, as_of: str, outputs: Sequence[str] = OUTPUTS
+    resources: Mapping[str, DataFrame],
+    mapping: Mapping[str, Any],
+    *,
+    as_of: str,
+    outputs: Sequence[str] = OUTPUTS,
+    unread: Mapping[str, DataFrame] | None = None,
+    profiles: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Tables ``cases, documents, claims, evidence, entities, relations, assertions`` and ``rejects``.
 
     Every table is keyed by ``encounter_id``.  A row that fails, or whose parent
     failed, appears in ``rejects``.  ``outputs`` names the parts to build (the
     four structured tables are ``structured``); resources of other parts are not
-    read.  With all parts a ``report`` counts inputs and outputs.
+    read.  ``unread`` holds what the readers of the resources rejected; it joins the rejects.  ``profiles`` are the columns of
+    the resources as profiled now: a mapping that was written for others is refused.
+
+    With all parts every table is written once, in the shared folder; its row count and fingerprint are observed while it is
+    written.  ``report`` lists them next to the counts of the inputs, and ``reject_report`` counts
+    the rejects by resource and reason.
     """
     if mapping["status"] not in EXECUTABLE:
         raise ValueError("mapping must be approved before it runs")
+    if profiles is not None:
+        now = schema_fingerprint(profiles).head()["fingerprint"]
+        if now != mapping["source_schema_fingerprint"]:
+            raise ValueError(f"schema drift: mapped {mapping['source_schema_fingerprint']}, profiled {now}")
     cases, rejects = _encounters(resources, mapping, as_of)
     known = cases.select("encounter_id")
     tables = {"cases": cases}
@@ -190,12 +207,32 @@ def run_mapping(
         structured, found = _projections(resources, mapping, known)
         tables |= structured
         rejects += found
+    rejects += [_rejects(name, df) for name, df in (unread or {}).items()]
     tables["rejects"] = reduce(lambda a, b: a.unionByName(b), rejects)
     if set(outputs) == set(OUTPUTS):
-        tables["report"] = run_report(resources, tables)
+        return account(resources, tables)
     return tables
 
 
+def account(inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of a run, each written once with its metrics observed on the way, ``report`` and ``reject_report``."""
+    stored, metrics = {}, []
+    for name, table in tables.items():
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        digest = row_digest(table, table.columns)
+        observed = table.observe(seen, F.count(F.lit(1)).alias("rows"), multiset_fingerprint(digest).alias("fingerprint"))
+        stored[name] = materialize(observed, f"run-{name}")
+        metrics.append(("output", name, seen.get["rows"], seen.get["fingerprint"]))
+    spark = stored["rejects"].sparkSession
+    written = spark.createDataFrame(metrics, "side string, table_name string, rows bigint, fingerprint string")
+    stored["report"] = run_report(inputs).withColumn("fingerprint", F.lit(None).cast("string")).unionByName(written)
+    # A violation is a reason, or an expression and its reason, each with a value after it.
+    reason = F.regexp_replace(F.col("violation"), r"(?<=[a-z_]) (?=[A-Z0-9]).*$|:.*$", "")
+    found = stored["rejects"].select("resource", F.explode("violations").alias("violation"))
+    stored["reject_report"] = found.groupBy("resource", reason.alias("reason")).agg(F.count(F.lit(1)).alias("rows"))
+    return stored
+
+
 def _encounters(resources, mapping, as_of) -> tuple[DataFrame, list[DataFrame]]:
     binding = mapping["encounter"]
     source = row_filter(resources[binding["resource"]], binding.get("where", ()))
@@ -388,14 +425,10 @@ def _item(kind: str, projection: Mapping[str, Any], index: int) -> Column:
     )
 
 
-def run_report(inputs: Mapping[str, DataFrame], outputs: Mapping[str, DataFrame]) -> DataFrame:
-    """Row counts per input resource and output table."""
-
-    def counts(side: str, tables: Iterable[tuple[str, DataFrame]]) -> list[DataFrame]:
-        return [
-            table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(side).alias("side"), F.lit(name).alias("table_name"), "rows")
-            for name, table in tables
-        ]
-
-    parts = counts("input", sorted(inputs.items())) + counts("output", sorted(outputs.items()))
+def run_report(inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """Row counts of the input resources; of columnar files only the footers are read."""
+    parts = [
+        table.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("input").alias("side"), F.lit(name).alias("table_name"), "rows")
+        for name, table in sorted(inputs.items())
+    ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -606,7 +606,7 @@ def run_report_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     Evidence that shares an id but comes from different rows is a conflict, as
     its locator names the row.
     """
-    return run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF)["report"]
+    return run_mapping(mapping_resources(spark, sf_dir), MAPPING, as_of=AS_OF)["report"].drop("fingerprint")
 
 
 @query(

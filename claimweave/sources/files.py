@@ -12,6 +12,7 @@ from claimweave.operators.scale import reasons, split_rejects
 from claimweave.session import materialize
 
 ROW_NUMBER = "_row_number"
+REJECTS = f"file string, {ROW_NUMBER} bigint, violations array<string>"
 #: Rows per resource beyond which a resource is refused.
 MAX_ROWS_PER_RESOURCE = 2_000_000
 
@@ -74,57 +75,86 @@ def _located(df: DataFrame) -> DataFrame:
     )
 
 
-def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a delimited resource, refused when they are not usable."""
-    first = spark.read.text(path).limit(1).select(parse_header(F.col("value")).alias("header"))
-    row = first.select("header", header_violations(F.col("header")).alias("violations")).head()
-    if row is None:
-        return []
-    if row["violations"]:
-        raise ValueError(f"unusable header in {path}: {row['violations']}")
-    return list(row["header"])
-
-
 _CORRUPT = "_corrupt_record"
 #: Commas outside quotes.
 _CELL_BREAK = ",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"
+#: A cell that is put after the last one of a record, to tell a missing cell from an empty one.
+_END = "\u0001"
+_CSV = {"sep": ",", "quote": '"', "escape": '"', "emptyValue": "", "mode": "PERMISSIVE"}
 
 
-def read_csv_checked(spark: SparkSession, path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
-    """``(rows, rejects)``: all cells as strings, no inference; rows with too many cells are rejects.
+def csv_records(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """``(_file, _row_number, record)``: raw records of delimited files; record 0 of a file is its header.
 
-    An empty cell is ``''`` and the cells a short row lacks are null; the parser
-    reports both as null, so the cells of a record that does not fit the header
-    are counted.  ``multi_line`` allows line breaks inside quotes at the price of
-    one task per file; plain files can turn it off to be split.
+    Files are parsed for one column only, so the parser hands over every record of more cells as it stands.
     """
-    names = csv_header(spark, path)
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, _CORRUPT]])
-    reader = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("emptyValue", "")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-    )
-    numbered = number_rows(_located(reader.csv(path)))
-    cells = F.size(F.split(F.col(_CORRUPT), _CELL_BREAK))
-    counted = numbered.withColumn("_cells", F.coalesce(F.when(F.col(_CORRUPT).isNotNull(), cells), F.lit(len(names))))
+    reader = spark.read.schema(f"_first string, {_CORRUPT} string").options(**_CSV).option("header", False)
+    rows = reader.option("multiLine", multi_line).option("columnNameOfCorruptRecord", _CORRUPT).csv(path)
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("_first", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    raw = F.regexp_replace(F.coalesce(_CORRUPT, quoted), "\r?\n$", "")
+    numbered = number_rows(_located(rows).select("_file", "_block", raw.alias("record")))
+    return numbered.select("_file", (F.col(ROW_NUMBER) - 1).alias(ROW_NUMBER), "record")
+
+
+def csv_layouts(records: DataFrame) -> DataFrame:
+    """``(_file, header, violations)``: the column names of every file, from its own first record."""
+    headers = records.filter(F.col(ROW_NUMBER) == 0).select("_file", parse_header(F.col("record")).alias("header"))
+    return headers.withColumn("violations", header_violations(F.col("header")))
+
+
+def read_csv_checked(spark: SparkSession, path: str, *, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)``: all cells as strings, no inference; every file is read by its own header.
+
+    Columns are aligned by name: the result has all names of all usable headers, in order of files and places, and a
+    column that a file lacks is null there.  An empty cell is ``''`` and the cells that a short row lacks are null.
+    Records with too many cells or an open quote are rejects; of a file with an unusable header every record is one,
+    the header itself as row 0, so rows, rejects and usable headers add up to the records.  An empty file is a reject too.
+    ``multi_line`` allows line breaks inside quotes at the price of one task per file; plain files can turn
+    it off to be split.
+    """
+    records = materialize(csv_records(spark, path, multi_line=multi_line), "records")
+    layouts = materialize(csv_layouts(records), "layouts")
+    usable = layouts.filter(F.size("violations") == 0)
+    # One row per layout, not per file.
+    distinct = usable.groupBy("header").agg(F.min("_file").alias("first")).orderBy("first").collect()
+    names = list(dict.fromkeys(name for row in distinct for name in row["header"]))
+    widest = max((len(row["header"]) for row in distinct), default=0)
+
+    places = F.array(*[F.array_position("header", F.lit(name)).cast("int") for name in names]) if names else F.array().cast("array<int>")
+    placed = usable.select("_file", F.size("header").alias("_width"), places.alias("_places"))
+    body = records.filter(F.col(ROW_NUMBER) > 0).join(placed, "_file")
+    schema = ", ".join(f"c{i} string" for i in range(widest + 1))
+    parsed = F.from_csv(F.concat("record", F.lit(f',"{_END}"')), schema, _CSV)
+    cells = body.withColumn("_parsed", parsed).withColumn("_cells", F.array(*[F.col(f"_parsed.c{i}") for i in range(widest + 1)]))
+    # The last end mark counts the cells before it; without one there are more cells than any header has.
+    back = F.array_position(F.reverse("_cells"), F.lit(_END)).cast("int")
+    count = F.when(back > 0, F.lit(widest + 1) - back)
+    counted = cells.withColumn("_count", count)
+    too_many = F.coalesce(F.col("_count") > F.col("_width"), F.lit(True))
     filled = [
-        F.when(F.col("_cells") > i, F.coalesce(F.col(f"`{name}`"), F.lit(""))).alias(name) for i, name in enumerate(names)
+        F.when((F.get("_places", F.lit(i)) > 0) & (F.get("_places", F.lit(i)) <= F.col("_count")), F.coalesce(F.get("_cells", F.get("_places", F.lit(i)) - 1), F.lit(""))).alias(name)
+        for i, name in enumerate(names)
     ]
-    ok = counted.filter(F.col("_cells") <= len(names)).select(*filled, ROW_NUMBER)
-    rejects = counted.filter(F.col("_cells") > len(names)).select(
-        F.col("_file").alias("file"), ROW_NUMBER, _CORRUPT, F.array(F.lit("too_many_cells")).alias("violations")
-    )
-    return ok, rejects
+    ok = counted.filter(~too_many).select(*filled, ROW_NUMBER)
+    open_quote = F.col("_count").isNull() & F.get("_cells", F.lit(widest)).isNull()
+    fault = F.when(open_quote, "open_quote").otherwise("too_many_cells")
+    wrong = counted.filter(too_many).select("_file", ROW_NUMBER, "record", F.array(fault).alias("violations"))
+    unusable = layouts.filter(F.size("violations") > 0).select("_file", "violations")
+    whole = records.join(unusable, "_file").select("_file", ROW_NUMBER, "record", "violations")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length = 0")
+    hollow = found.select(F.col("path").alias("_file"), F.lit(0).alias(ROW_NUMBER), F.lit("").alias("record"), F.array(F.lit("empty_file")).alias("violations"))
+    rejects = wrong.unionByName(whole).unionByName(hollow)
+    return ok, rejects.select(F.col("_file").alias("file"), ROW_NUMBER, F.col("record").alias(_CORRUPT), "violations")
 
 
 def read_csv(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
-    return read_csv_checked(spark, path, multi_line=multi_line)[0]
+    """Rows of files without any reject; a reject is an error that names the first ones."""
+    rows, rejects = read_csv_checked(spark, path, multi_line=multi_line)
+    first = rejects.select("file", ROW_NUMBER, "violations").limit(3).collect()
+    if first:
+        kind = "unusable header" if any(r[ROW_NUMBER] == 0 for r in first) else "unusable records"
+        raise ValueError(f"{kind} in {path}: {[tuple(r) for r in first]}")
+    return rows
 
 
 def _json_schema(spark: SparkSession, path: str, multi_line: bool) -> T.StructType:
@@ -165,28 +195,44 @@ def over_row_budget(df: DataFrame, resource: str, limit: int = MAX_ROWS_PER_RESO
     return df.agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > limit).select(F.lit(resource).alias("resource"), "rows")
 
 
-Reader = Callable[[SparkSession, str], DataFrame]
+Reader = Callable[..., "tuple[DataFrame, DataFrame] | DataFrame"]
 
 
 class Readers:
-    """Formats by name; further formats are registered by the caller."""
+    """Formats by name; further formats are registered by the caller.  Every reader gives ``(rows, rejects)``."""
 
     def __init__(self) -> None:
+        from claimweave.sources.workbook import read_workbook_sheet
+
         self._readers: dict[str, Reader] = {
-            "csv": read_csv,
-            "json": lambda spark, path: read_json(spark, path)[0],
-            "jsonl": lambda spark, path: read_jsonl(spark, path)[0],
+            "csv": read_csv_checked,
+            "json": read_json,
+            "jsonl": read_jsonl,
+            "xlsx": read_workbook_sheet,
         }
 
     def register(self, name: str, reader: Reader) -> None:
+        """A reader takes the session, the path and what else the resource names; it may return rows alone."""
         if not name or name in self._readers:
             raise ValueError(f"reader already registered or invalid: {name!r}")
         self._readers[name] = reader
 
-    def read(self, spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    def read(self, spark: SparkSession, path: str, fmt: str, **options: str) -> tuple[DataFrame, DataFrame]:
         if fmt not in self._readers:
             raise ValueError(f"no reader registered for {fmt}")
-        return self._readers[fmt](spark, path)
-
-    def read_all(self, spark: SparkSession, root: str, resources: Mapping[str, Mapping[str, str]]) -> dict[str, DataFrame]:
-        return {name: self.read(spark, f"{root}/{item['path']}", item["format"]) for name, item in resources.items()}
+        found = self._readers[fmt](spark, path, **options)
+        rows, rejects = found if isinstance(found, tuple) else (found, spark.createDataFrame([], REJECTS))
+        for name, kind in (("file", "string"), (ROW_NUMBER, "bigint")):
+            if name not in rejects.columns:
+                rejects = rejects.withColumn(name, F.lit(None).cast(kind))
+        return rows, rejects.select("file", F.col(ROW_NUMBER).cast("bigint").alias(ROW_NUMBER), "violations")
+
+    def read_all(
+        self, spark: SparkSession, root: str, resources: Mapping[str, Mapping[str, str]]
+    ) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+        """Rows and rejects of every resource; ``run_mapping`` takes both."""
+        rows, rejects = {}, {}
+        for name, item in resources.items():
+            options = {k: v for k, v in item.items() if k in ("sheet",)}
+            rows[name], rejects[name] = self.read(spark, f"{root}/{item['path']}", item["format"], **options)
+        return rows, rejects

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimweave.session import materialize
 from claimweave.sources.files import ROW_NUMBER
 
 SCHEMA = "file string, sheet string, row_number bigint, cells map<string,string>, error string"
@@ -138,3 +139,12 @@ def sheet_table(rows: DataFrame, sheet: str, columns: list[str]) -> DataFrame:
     """One sheet as a table of strings with its row numbers."""
     picked = [F.try_element_at("cells", F.lit(name)).alias(name) for name in columns]
     return rows.filter(F.col("sheet") == sheet).select("file", *picked, F.col("row_number").alias(ROW_NUMBER))
+
+
+def read_workbook_sheet(spark: SparkSession, path: str, sheet: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, rejects)`` of one sheet of all workbooks below ``path``; columns in order of their names."""
+    rows, rejects = read_workbooks(spark, path)
+    rows = materialize(rows.filter(F.col("sheet") == sheet), "sheet")
+    # One name per column of the sheet.
+    names = [r["name"] for r in rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct().orderBy("name").collect()]
+    return sheet_table(rows, sheet, names).drop("file"), rejects

@@ -235,8 +235,8 @@ CLINIC = {
 def run_export(spark, folder, **changes):
     for name, text in {**EXPORT, **changes}.items():
         write(folder, f"{name}.csv", text)
-    resources = Readers().read_all(spark, str(folder), CLINIC["resources"])
-    return run_mapping(resources, CLINIC, as_of="2026-01-01T00:00:00Z"), resources
+    resources, unread = Readers().read_all(spark, str(folder), CLINIC["resources"])
+    return run_mapping(resources, CLINIC, as_of="2026-01-01T00:00:00Z", unread=unread), resources
 
 
 def test_mapping_of_an_export(spark, tmp_path):
@@ -299,7 +299,8 @@ def test_bundles_and_exports(spark, tmp_path):
 def test_formats_are_registered_once(spark):
     readers = Readers()
     readers.register("rows", lambda session, path: session.range(3).toDF("n"))
-    assert readers.read(spark, "", "rows").count() == 3
+    rows, rejects = readers.read(spark, "", "rows")
+    assert rows.count() == 3 and rejects.count() == 0
     with pytest.raises(ValueError):
         readers.register("csv", lambda session, path: None)
     with pytest.raises(ValueError):
