@@ -26,10 +26,10 @@ from claimweave.session import materialize
 #: Ends of both tokenizers in one piece.
 PIECE_ENDS = 1 << 15
 #: Bytes of text whose documents share one key (a longer document has its own), and that are merged at once.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Bytes of texts that are encoded at once, and units that the encoder of A keeps.
-ENCODE_BYTES = 2 << 20
-CACHE_UNITS = 250_000
+ENCODE_BYTES = 1 << 19
+CACHE_UNITS = 120_000
 #: Bytes after which a text is cut at the next safe boundary.
 SEGMENT_BYTES = 1 << 20
 _RARE = r"\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
@@ -48,10 +48,12 @@ class Tokens(NamedTuple):
 class _Spelling:
     """Bytes of every token of a vocabulary."""
 
-    def __init__(self, names: list[bytes]):
+    def __init__(self, names: list[bytes], lossless: bool = False):
         self.lens = np.array([len(x) for x in names], "<u4")
         self.begin = np.cumsum(self.lens, dtype=np.int64) - self.lens
         self.letters = np.frombuffer(b"".join(names), np.uint8)
+        #: A byte-level vocabulary with all bytes loses none, so its lengths tell all.
+        self.lossless = lossless
 
     def sizes(self, ids: np.ndarray, raw: np.ndarray) -> np.ndarray | None:
         """Bytes of each token, or ``None`` where the tokens do not spell ``raw``."""
@@ -59,6 +61,8 @@ class _Spelling:
         ends = np.cumsum(lens, dtype=np.int64)
         if not len(ids) or ends[-1] != len(raw) or not lens.all():
             return None
+        if self.lossless:
+            return lens
         at = np.arange(len(raw)) + np.repeat(self.begin[ids] - ends + lens, lens)
         return lens if np.array_equal(self.letters[at], raw) else None
 
@@ -87,7 +91,8 @@ class PairEncoder:
         ]
         crossing = re.compile("[^▁\t\n\r][▁\t\n]")
         self.cuts = not any(crossing.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i))
-        self.a_spelled, self.b_spelled = _Spelling(a_bytes), _Spelling(b_bytes)
+        complete = {bytes([b]) for b in range(256)} <= set(a_bytes)
+        self.a_spelled, self.b_spelled = _Spelling(a_bytes, complete), _Spelling(b_bytes)
 
     def encode(self, texts: list[str | None]) -> list[list[Tokens] | None]:
         """Tokens of every whole text with one space before it, in parts that follow each other.
@@ -327,6 +332,7 @@ def count_links(stored: DataFrame) -> DataFrame:
     """``(step, pair, n)``: overlaps of each id pair, summed over the pieces of a step that lie together."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _PAIRS.clear()  # the worker may hold the encoders of the stage before
         step, held = None, []
 
         def summed() -> Iterator[pa.RecordBatch]:
@@ -390,6 +396,7 @@ def _names(most: int) -> list[bytes]:
 
 
 def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
+    _PAIRS.clear()
     rows = stored.to_pylist()
     rows.sort(key=lambda r: r["piece"])
     docs = rows[0]["docs"]
