@@ -91,20 +91,28 @@ def admit(requests: DataFrame, packets: DataFrame, items: DataFrame) -> DataFram
     return joined.withColumn("reject_reason", cascade)
 
 
-def resolve(admitted: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """``status`` of admitted requests in order of ``sequence``.
+def resolve(admitted: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """``status`` of admitted requests in order of ``sequence``, after the decisions in ``stored``.
 
     ``accepted`` when neither the idempotency key nor the finding was taken by an
     earlier accepted request; ``replayed`` or ``conflict`` when the key was taken
     by an equal or a different request; ``terminal`` when the finding already has
-    a decision.  Accepting in order is a greedy matching of keys and findings:
+    a decision.  ``stored`` holds the accepted requests of earlier batches with their columns; all of them come first,
+    so batches of growing sequence give the outcome of one batch over all requests.
+
+    Requests that meet a stored key or finding leave before the matching, which only sees new groups.  Accepting in order
+    is a greedy matching of keys and findings:
     each round accepts the requests that come first on both sides and drops
-    those that share a side with them, which gives the sequential outcome.
+    those that share a side with them, which gives the sequential outcome.  The first pending request is always
+    accepted, so rounds end by themselves.
     Rounds are checkpointed and only their emptiness reaches the driver.
     """
     pending = admitted.select("sequence", *dict.fromkeys(KEY + FINDING))
+    if stored is not None:
+        pending = pending.join(stored.select(*KEY), KEY, "left_anti").join(stored.select(*FINDING), FINDING, "left_anti")
+        pending = cut_lineage(pending)
     accepted = None
-    for _ in range(max_rounds):
+    while True:
         by_key = pending.groupBy(*KEY).agg(F.min("sequence").alias("_by_key"))
         by_finding = pending.groupBy(*FINDING).agg(F.min("sequence").alias("_by_finding"))
         won = (
@@ -120,22 +128,21 @@ def resolve(admitted: DataFrame, max_rounds: int = 1_000) -> DataFrame:
         )
         if pending.isEmpty():
             break
-    else:
-        raise RuntimeError("decision requests did not settle")
     winners = admitted.join(accepted.select("sequence"), "sequence", "left_semi")
-    keyed = winners.select(
-        *KEY, F.col("sequence").alias("_sequence"), F.struct(*REQUEST_FIELDS).alias("_request")
-    )
+    request = F.struct(*REQUEST_FIELDS).alias("_request")
+    keyed = winners.select(*KEY, F.col("sequence").alias("_sequence"), request, F.lit(False).alias("_stored"))
+    if stored is not None:
+        keyed = keyed.unionByName(stored.select(*KEY, F.col("sequence").alias("_sequence"), request, F.lit(True).alias("_stored")))
     joined = admitted.join(keyed, KEY, "left")
     same = F.col("_request").eqNullSafe(F.struct(*REQUEST_FIELDS))
-    earlier = F.coalesce(F.col("_sequence") < F.col("sequence"), F.lit(False))
+    earlier = F.coalesce(F.col("_stored") | (F.col("_sequence") < F.col("sequence")), F.lit(False))
     status = (
-        F.when(F.col("_sequence") == F.col("sequence"), F.lit("accepted"))
+        F.when(~F.col("_stored") & (F.col("_sequence") == F.col("sequence")), F.lit("accepted"))
         .when(earlier & same, F.lit("replayed"))
         .when(earlier, F.lit("conflict"))
         .otherwise(F.lit("terminal"))
     )
-    return joined.withColumn("status", status).drop("_request").withColumnRenamed("_sequence", "resolved_by")
+    return joined.withColumn("status", status).drop("_request", "_stored").withColumnRenamed("_sequence", "resolved_by")
 
 
 def decision_feedback(decisions: DataFrame, by: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions import text
-from claimweave.functions.canonical import canonical_hash, multiset_fingerprint, short_id
+from claimweave.functions.canonical import canonical_hash, multiset_fingerprint, row_digest, short_id
 from claimweave.operators.scale import SEGMENT_ROWS, previous_in_chain, reasons, split_checked
 
 PACKET_SCHEMA = "3.0.0"
@@ -82,19 +82,67 @@ def build_packets(
     return built.withColumn("packet_hash", packet_digest())
 
 
+#: Columns of a packet that its digest covers: all but the digest itself.
+PACKET_FIELDS = (
+    "case_hash",
+    "claim_mutation_allowed",
+    "environment",
+    "finding_count",
+    "findings_hash",
+    "grouper_versions",
+    "human_review_required",
+    "packet_id",
+    "permitted_actions",
+    "record_hash",
+    "tenant_id",
+    "workspace_id",
+)
+
+
 def packet_digest() -> Column:
     """Digest over the whole packet row, itself excluded."""
-    return canonical_hash(
-        claim_mutation_allowed=F.col("claim_mutation_allowed"),
-        environment=F.col("environment"),
-        finding_count=F.col("finding_count"),
-        findings_hash=F.col("findings_hash"),
-        human_review_required=F.col("human_review_required"),
-        packet_id=F.col("packet_id"),
-        record_hash=F.col("record_hash"),
-        tenant_id=F.col("tenant_id"),
-        workspace_id=F.col("workspace_id"),
-    )
+    return canonical_hash(**{name: F.col(name) for name in PACKET_FIELDS})
+
+
+def digest_tree(rows: DataFrame, by: Sequence[str], key: str, columns: Sequence[str], leaves: int = 256) -> DataFrame:
+    """``(*by, leaf, row_count, fingerprint)``: digests of the rows of every group by ranges of their hashed key.
+
+    A leaf covers the rows whose key falls into it, so an altered row shows in one leaf.  Sums combine before the
+    shuffle: a group with a third of all rows costs ``leaves`` rows per task.
+    """
+    leaf = F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int").alias("leaf")
+    digested = rows.select(*by, leaf, row_digest(rows, list(columns)).alias("_digest"))
+    return digested.groupBy(*by, "leaf").agg(F.count(F.lit(1)).alias("row_count"), multiset_fingerprint(F.col("_digest")).alias("fingerprint"))
+
+
+def tree_roots(tree: DataFrame, by: Sequence[str], name: str = "root") -> DataFrame:
+    """One digest per group over its leaves, at most ``leaves`` of ``digest_tree`` of them."""
+    leaf = canonical_hash(leaf=F.col("leaf"), row_count=F.col("row_count"), fingerprint=F.col("fingerprint"))
+    return tree.select(*by, leaf.alias("_digest")).groupBy(*by).agg(multiset_fingerprint(F.col("_digest")).alias(name))
+
+
+def altered_rows(
+    original: DataFrame, now: DataFrame, by: Sequence[str], key: str, columns: Sequence[str], leaves: int = 256
+) -> DataFrame:
+    """``(*by, key, change)``: keys whose rows were ``altered``, ``removed`` or ``added`` since ``original``.
+
+    Leaves are compared first; only rows of leaves that differ are grouped by their key, and a key with several rows is
+    compared by all of them.
+    """
+    kept, found = (digest_tree(df, by, key, columns, leaves) for df in (original, now))
+    pairs = kept.alias("a").join(found.alias("b"), [*by, "leaf"], "full")
+    differ = ~F.col("a.fingerprint").eqNullSafe(F.col("b.fingerprint"))
+    suspect = pairs.filter(differ).select(*by, "leaf")
+    leaf = F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int")
+
+    def inside(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*by, key, leaf.alias("leaf"), row_digest(df, list(columns)).alias(name))
+        found = rows.join(suspect, [*by, "leaf"], "left_semi")
+        return found.groupBy(*by, key).agg(multiset_fingerprint(F.col(name)).alias(name))
+
+    both = inside(original, "_was").join(inside(now, "_is"), [*by, key], "full")
+    change = F.when(F.col("_is").isNull(), "removed").when(F.col("_was").isNull(), "added").otherwise("altered")
+    return both.filter(~F.col("_was").eqNullSafe(F.col("_is"))).select(*by, key, change.alias("change"))
 
 
 def check_identifiers(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:

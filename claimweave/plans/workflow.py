@@ -81,9 +81,11 @@ recorded AS (SELECT *, sha256('{{"audit_schema_version":"1.0.0","case_hash":"' |
     || ',"rule_package_hash":"{"0" * 64}"}}') AS record_hash FROM joined),
 packets AS (SELECT *, 'packet-' || substr(sha256('{{"case_id":"' || o_orderkey || '","record_hash":"' || record_hash
     || '","tenant_id":"{TENANT}","workspace_id":"ws"}}'), 1, 20) AS packet_id FROM recorded),
-hashed AS (SELECT *, sha256('{{"claim_mutation_allowed":false,"environment":"development","finding_count":' || finding_count
-    || ',"findings_hash":' || coalesce('"' || findings_hash || '"', 'null') || ',"human_review_required":' || CAST(human AS VARCHAR)
-    || ',"packet_id":"' || packet_id || '","record_hash":"' || record_hash || '","tenant_id":"{TENANT}","workspace_id":"ws"}}') AS packet_hash
+hashed AS (SELECT *, sha256('{{"case_hash":"' || case_hash || '","claim_mutation_allowed":false,"environment":"development","finding_count":' || finding_count
+    || ',"findings_hash":' || coalesce('"' || findings_hash || '"', 'null')
+    || ',"grouper_versions":[' || CASE WHEN finding_count > 0 THEN '"bands-1"' ELSE '' END || '],"human_review_required":' || CAST(human AS VARCHAR)
+    || ',"packet_id":"' || packet_id || '","permitted_actions":["{'","'.join(PERMITTED_ACTIONS)}"],"record_hash":"' || record_hash
+    || '","tenant_id":"{TENANT}","workspace_id":"ws"}}') AS packet_hash
   FROM packets)"""
 
 
