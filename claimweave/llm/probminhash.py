@@ -29,7 +29,7 @@ HUB_GROWTH = 32
 #: Members of a bucket that one task compares with its hubs.
 SALT_MEMBERS = 2_000
 #: Bytes of texts that are sketched together.
-SKETCH_BYTES = 2 << 20
+SKETCH_BYTES = 1 << 20
 
 _U = np.uint64
 
@@ -191,7 +191,9 @@ def near_duplicates(
     spoken = F.size("bands") > 0
     nodes = materialize(sketched.filter(spoken).groupBy("k1", "k2").agg(F.min("row").alias("node")), "nodes")
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
+    # One row per node, stored: three later steps read its bands.
     first = placed.filter(F.col("row") == F.col("node")).select("node", "doc_id", "k1", "k2", "bands", "sketch")
+    first = materialize(first, "first")
     buckets = first.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Buckets of equal members are one bucket.
     half = F.lit(0xFFFFFFFF)
@@ -213,7 +215,7 @@ def near_duplicates(
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole_batch in batches:
             mask = pa.array(is_wanted.holds(whole_batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)))
-            for batch in steps([whole_batch.filter(mask)]):
+            for batch in steps([whole_batch.filter(mask)], limit=SKETCH_BYTES):
                 owner, shingle, weight, whole = weighted_shingles(batch.column("text"), size)
                 short = (shingle >> _U(32)).astype("<u4")  # still sorted; equal ones within a text are one
                 first_of = np.ones(len(short), bool)
