@@ -58,7 +58,7 @@ def iso_datetime(raw: Column) -> tuple[Column, Column]:
     """
     value = iso_from_ntz(wall_clock(raw), own_offset(raw))
     reason = F.when(wall_clock(raw).isNull(), F.lit("must be an ISO 8601 datetime")).otherwise(
-        F.lit("must include an explicit UTC offset")
+        F.lit("no_utc_offset")
     )
     return value, F.when(value.isNull(), reason)
 

@@ -288,7 +288,7 @@ def _claims(resources, mapping, known) -> tuple[DataFrame, list[DataFrame]]:
     columns["drg"] = optional_string(binding["drg"]) if "drg" in binding else _constant(None, "string")
     if "allowed_amount_cents" in binding:
         amount = compile_expr(binding["allowed_amount_cents"])
-        negative = F.when(amount.value < 0, F.lit("must be a non-negative integer or null"))
+        negative = F.when(amount.value < 0, F.lit("negative_amount"))
         columns["allowed_amount_cents"] = Compiled(amount.value, F.coalesce(amount.error, negative), amount.fields)
     else:
         columns["allowed_amount_cents"] = _constant(None, "bigint")

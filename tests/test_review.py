@@ -9,43 +9,51 @@ from claimweave.operators.automation import Policy, classify, consolidate, draft
 from claimweave.operators.metrics import evaluate
 from claimweave.operators.rules import evaluate_rules, nest_lineage, reproduction_findings
 
-CLASSES = {"Thing": None, "Person": "Thing", "Lesion": "Thing", "Ulcer": "Lesion"}
+CLASSES = {"Part": None, "Monitor": "Part", "Pump": "Part", "Syringe": "Pump"}
 
 
-def rule(rule_id, conditions, disposition, change, **more):
-    """A rule on lesions of all kinds."""
-    then = {"disposition": disposition, "requires_human_review": True, "proposed_change": change, "rationale": f"See {rule_id}."}
-    when = {"all": [{"field": name, "op": op, "value": value} for name, op, value in conditions]}
-    return {"rule_id": rule_id, "title": rule_id.title(), "applies_to": {"subject_types": ["Lesion"], "include_subtypes": True}, "when": when, "then": then, **more}
+def then(disposition, change):
+    return {"disposition": disposition, "requires_human_review": True, "proposed_change": change, "rationale": "Read the log."}
 
 
-DEEP = [("concept", "eq", "ulcer"), ("documentation_status", "eq", "explicit"), ("attributes.depth_mm", "gte", 30)]
-UNSURE = [("documentation_status", "in", ["inferred", "conflicted"])]
-MISSING_CODE = [{"field": "claim.diagnoses", "op": "not_contains", "value": "L89.154"}]
+PUMPS = {"subject_types": ["Pump"], "include_subtypes": True}
 PACKAGE = {
-    "package_id": "ulcer-rules",
+    "package_id": "pump-rules",
     "version": "0.4.0",
     "status": "approved-for-demo",
     "rules": [
-        rule("deep-ulcer", DEEP, "coding_review", {"add_diagnoses": ["L89.154"]}, case_conditions=MISSING_CODE),
-        rule("unsure-ulcer", UNSURE, "cdi_query", {}),
+        {
+            "rule_id": "alarms-while-stopped",
+            "title": "A stopped pump raised alarms",
+            "applies_to": PUMPS,
+            "when": {"not": {"any": [{"field": "attributes.alarms", "op": "lte", "value": 4}, {"field": "confidence", "op": "lte", "value": 0.9}]}},
+            "case_conditions": [{"not": {"field": "claim.charges", "op": "contains", "value": "PUMP-DAY"}}, {"field": "metadata.ward", "op": "eq", "value": "W2"}],
+            "then": then("coding_review", {"remove_diagnoses": ["A41.9"], "add_diagnoses": ["L89.154"]}),
+        },
+        {
+            "rule_id": "log-lacks-rate",
+            "title": "The pump log names no rate",
+            "applies_to": PUMPS,
+            "when": {"all": [{"field": "attributes.rate", "op": "exists", "value": False}, {"field": "status", "op": "ne", "value": "historical"}]},
+            "then": then("cdi_query", {}),
+        },
     ],
 }
 
 
-def case_tables(spark, *, documentation="explicit", confidence=0.98, subject="u1", diagnoses=("A41.9",), drg="DEMO-292", allowed=1_000_000):
-    body = json.dumps({"depth_mm": 35})
+def case_tables(spark, *, alarms=9, rate=3, confidence=0.98, subject="u1", diagnoses=("A41.9",), charges=("ROOM-BOARD",), drg="DEMO-292", allowed=1_000_000):
+    body = json.dumps({"alarms": alarms} | ({} if rate is None else {"rate": rate}))
     assertions = spark.createDataFrame(
-        [("C1", "AS-001", subject, "ulcer", "present", documentation, confidence, body, ["EV-1"], [])],
+        [("C1", "AS-001", subject, "pump", "present", "explicit", confidence, body, ["EV-1"], [])],
         "case_id string, assertion_id string, subject_id string, concept string, status string, documentation_status string, "
         "confidence double, attributes string, evidence_ids array<string>, contradicting_evidence_ids array<string>",
     ).withColumn("attributes", F.parse_json("attributes"))
     entities = spark.createDataFrame(
-        [("C1", "u1", "Ulcer", "u", "{}"), ("C1", "p1", "Person", "p", "{}")],
+        [("C1", "u1", "Syringe", "u", "{}"), ("C1", "p1", "Monitor", "p", "{}")],
         "case_id string, entity_id string, entity_type string, label string, properties string",
     ).withColumn("properties", F.parse_json("properties"))
     cases = spark.createDataFrame(
-        [("C1", list(diagnoses), [], ["ROOM-BOARD"], drg, allowed, "{}")],
+        [("C1", list(diagnoses), [], list(charges), drg, allowed, '{"ward": "W2"}')],
         "case_id string, diagnoses array<string>, procedures array<string>, charges array<string>, drg string, "
         "allowed_amount_cents bigint, metadata string",
     ).withColumn("metadata", F.parse_json("metadata"))
@@ -57,15 +65,15 @@ def findings_of(spark, package=PACKAGE, **changes):
     return findings.collect()
 
 
-def test_omitted_diagnosis_is_found_and_priced(spark):
+def test_a_change_is_found_and_priced(spark):
     (row,) = findings_of(spark)
-    assert (row.current_drg, row.simulated_drg, row.estimated_impact_cents) == ("DEMO-292", "DEMO-290", 842_000)
+    assert (row.rule_id, row.current_drg, row.simulated_drg, row.estimated_impact_cents) == ("alarms-while-stopped", "DEMO-292", "DEMO-290", 842_000)
     assert row.finding_id.startswith("finding-") and len(row.finding_id) == len("finding-") + 16
-    assert row.proposed_change == {"add_diagnoses": ["L89.154"]}
+    assert row.proposed_change == {"add_diagnoses": ["L89.154"], "remove_diagnoses": ["A41.9"]}
 
 
-def test_code_on_claim_leaves_only_the_reproduction_finding(spark):
-    assert findings_of(spark, diagnoses=("A41.9", "L89.154")) == []
+def test_case_conditions_leave_only_the_reproduction_finding(spark):
+    assert findings_of(spark, charges=("PUMP-DAY",)) == [] == findings_of(spark, alarms=4)
     (row,) = reproduction_findings(case_tables(spark, diagnoses=("A41.9", "L89.154"))[2]).collect()
     assert (row.rule_id, row.current_drg, row.estimated_impact_cents) == ("SYSTEM-DRG-REPRODUCTION", "DEMO-290", 842_000)
 
@@ -75,14 +83,14 @@ def test_unknown_payment_gives_no_impact(spark):
     assert row.estimated_impact_cents is None and row.impact_status == "unavailable"
 
 
-def test_inferred_evidence_asks_the_clinician(spark):
-    (row,) = findings_of(spark, documentation="inferred", confidence=0.82)
-    assert (row.disposition, row.estimated_impact_cents) == ("cdi_query", 0)
+def test_an_absent_attribute_asks_the_clinician(spark):
+    (row,) = findings_of(spark, rate=None, confidence=0.82)
+    assert (row.rule_id, row.disposition, row.estimated_impact_cents) == ("log-lacks-rate", "cdi_query", 0)
 
 
 def test_scope(spark):
     assert findings_of(spark, subject="p1") == []
-    exact = [{**known, "applies_to": {"subject_types": ["Lesion"], "include_subtypes": False}} for known in PACKAGE["rules"]]
+    exact = [{**known, "applies_to": {**PUMPS, "include_subtypes": False}} for known in PACKAGE["rules"]]
     assert findings_of(spark, {**PACKAGE, "rules": exact}) == []
     with pytest.raises(ValueError, match="unknown classes"):
         bad = [{**PACKAGE["rules"][0], "applies_to": {"subject_types": ["Nothing"], "include_subtypes": True}}]
