@@ -27,6 +27,8 @@ from claimweave.session import materialize
 
 WINDOW_WORDS = 35
 PAIR_ROUNDS = 5
+#: Bytes of texts that are parsed at once.
+STEP_BYTES = 1 << 20
 #: Words that one symbol may stand for.
 SYMBOL_WORDS = 16
 #: An anchor that occurs more often is hot: its windows are counted before they are joined.
@@ -126,7 +128,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
     ``rows`` has ``_id``, ``_hash`` (both long; rows with equal values have equal texts) and ``text``.
     """
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             found = words(batch.column("text"))
             parse = Parse(found, word_hashes(found), window)
             yield pa.RecordBatch.from_arrays([_longs(parse.key[np.unique(parse.anchor[parse.anchor >= 0])])], ["key"])
@@ -138,7 +140,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
     is_often = KeyFilter(shared.filter(F.col("n") > hot), F.col("key"), sizes[1])
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, limit=STEP_BYTES):
             found = words(batch.column("text"))
             hashes = word_hashes(found)
             parse = Parse(found, hashes, window)
@@ -200,7 +202,7 @@ def remove_repeats(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words bigint, n_removed bigint, kept_words string"])
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
+        for batch in steps(batches, text_col, STEP_BYTES):
             found = words(batch.column(text_col))
             counts = np.diff(found.first)
             lists = batch.column("_places")
