@@ -12,7 +12,7 @@ from claimweave.plans.registry import query
 from claimweave.plans.workflow import CHAIN_FOLD_SQL, tasks_of, tasks_sql
 from claimweave.session import materialize, scratch_path
 from claimweave.streaming import stream_decisions, stream_ingest, stream_outbox
-from claimweave.streaming.jobs import stored
+from claimweave.streaming.jobs import stored, stream_decision_log
 
 
 def _run(spark: SparkSession, sf_dir: str, start, output: T.StructType, name: str, *arguments, **options) -> DataFrame:
@@ -92,3 +92,32 @@ def stream_decisions_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("packet_id").agg(
         F.count(F.lit(1)).alias("decisions"), F.max_by("record_hash", "sequence").alias("last_hash")
     )
+
+
+@query(
+    "stream_decision_log",
+    f"""WITH {EVENTS_SQL}, parts AS (SELECT *, event_id % 3 AS part FROM ev),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, whole ORDER BY part, event_id) AS rn FROM parts),
+    sums AS (SELECT user_id, count(*) FILTER (rn = 1) AS accepted, count(*) FILTER (rn = 1 AND part = 0 AND user_id % 2 = 0) AS replayed,
+        count(*) + count(*) FILTER (part = 0 AND user_id % 2 = 0) AS requests FROM ranked GROUP BY user_id),
+    contents AS (SELECT user_id, list(sha256('{{"event_id":' || event_id || ',"event_type":"' || event_type || '"}}') ORDER BY part, event_id)
+        AS contents FROM ranked WHERE rn = 1 GROUP BY user_id)
+    SELECT user_id AS packet_id, accepted, replayed, requests - accepted - replayed AS terminal, {CHAIN_FOLD_SQL} AS last_hash
+    FROM contents JOIN sums USING (user_id)""",
+)
+def stream_decision_log_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests in three deliveries, the later ones with late and replayed rows; the stream is restarted for each."""
+    place = scratch_path(spark, "decision-log")
+    source = table(spark, sf_dir, "events")
+    part = F.col("event_id") % 3
+    again = source.filter((part == 0) & (F.col("user_id") % 2 == 0))
+    for delivery in (source.filter(part == 0), source.filter(part == 1), source.filter(part == 2).unionByName(again)):
+        delivery.write.mode("append").parquet(f"{place}/in")
+        requests = lambda df: _requests(df).withColumn("expected_previous", F.lit(None).cast("string"))
+        job = stream_decision_log(spark, f"{place}/in", source.schema, requests, table=f"{place}/table", checkpoint=f"{place}/checkpoint")
+        job.awaitTermination()
+    log = spark.read.parquet(f"{place}/table")
+    return log.groupBy(F.col("packet_id").cast("bigint").alias("packet_id")).agg(
+        *[F.count_if(F.col("status") == name).alias(name) for name in ("accepted", "replayed", "terminal")],
+        F.max_by("record_hash", "position").alias("last_hash"),
+    )

@@ -107,7 +107,7 @@ def read_csv_checked(spark: SparkSession, path: str, *, multi_line: bool = True)
 
     Columns are aligned by name: the result has all names of all usable headers, in order of files and places, and a
     column that a file lacks is null there.  An empty cell is ``''`` and the cells that a short row lacks are null.
-    Records with too many cells or an open quote are rejects; of a file with an unusable header every record is one,
+    Records with too many cells are rejects (an open quote takes the rest of its file into one cell); of a file with an unusable header every record is one,
     the header itself as row 0, so rows, rejects and usable headers add up to the records.  An empty file is a reject too.
     ``multi_line`` allows line breaks inside quotes at the price of one task per file; plain files can turn
     it off to be split.
@@ -136,13 +136,15 @@ def read_csv_checked(spark: SparkSession, path: str, *, multi_line: bool = True)
         for i, name in enumerate(names)
     ]
     ok = counted.filter(~too_many).select(*filled, ROW_NUMBER)
-    open_quote = F.col("_count").isNull() & F.get("_cells", F.lit(widest)).isNull()
-    fault = F.when(open_quote, "open_quote").otherwise("too_many_cells")
-    wrong = counted.filter(too_many).select("_file", ROW_NUMBER, "record", F.array(fault).alias("violations"))
+    wrong = counted.filter(too_many).select("_file", ROW_NUMBER, "record", F.array(F.lit("too_many_cells")).alias("violations"))
     unusable = layouts.filter(F.size("violations") > 0).select("_file", "violations")
     whole = records.join(unusable, "_file").select("_file", ROW_NUMBER, "record", "violations")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter("length = 0")
-    hollow = found.select(F.col("path").alias("_file"), F.lit(0).alias(ROW_NUMBER), F.lit("").alias("record"), F.array(F.lit("empty_file")).alias("violations"))
+    # Scans leave empty files out; the listing, which the driver holds anyway, names them.
+    listed = [(name,) for name in spark.read.schema("value string").text(path).inputFiles()]
+    one_slash = lambda column: F.regexp_replace(column, "^([a-z0-9]+):/+", "$1:/")
+    read = layouts.select(one_slash(F.col("_file")).alias("_name"))
+    hollow = spark.createDataFrame(listed, "_file string").withColumn("_name", one_slash(F.col("_file"))).join(read, "_name", "left_anti")
+    hollow = hollow.select("_file", F.lit(0).alias(ROW_NUMBER), F.lit("").alias("record"), F.array(F.lit("empty_file")).alias("violations"))
     rejects = wrong.unionByName(whole).unionByName(hollow)
     return ok, rejects.select(F.col("_file").alias("file"), ROW_NUMBER, F.col("record").alias(_CORRUPT), "violations")
 

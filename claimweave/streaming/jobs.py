@@ -9,14 +9,15 @@ joined, never held in executor memory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from claimweave.operators.chains import append_chain
+from claimweave.operators.chains import append_chain, link_digest
 from claimweave.operators.outbox import new_tasks
 from claimweave.operators.scale import first_per_group
 
@@ -120,3 +121,83 @@ def stream_decisions(
 
     return incremental(_file_stream(spark, path, schema, fmt, files_per_trigger), table, checkpoint, output, step)
 
+
+
+_LOG = T.StructType(
+    [
+        T.StructField("packet_id", T.StringType()),
+        T.StructField("finding_id", T.StringType()),
+        T.StructField("sequence", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("position", T.LongType()),
+        T.StructField("previous_hash", T.StringType()),
+        T.StructField("record_hash", T.StringType()),
+    ]
+)
+_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class DecisionLog(StatefulProcessor):
+    """Decisions of one packet as they come: its decided findings, the length and the last digest of its chain.
+
+    Requests of a micro-batch are taken by ``sequence``.  The first for a finding is accepted and linked behind the
+    chain's tail, late ones too, so a chain never changes behind its tail; a later one is ``replayed`` if its content is
+    equal, else ``terminal``.  One that names the digest it expects at the tail is ``stale`` where another one is.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tail = handle.getValueState("tail", "position bigint, record_hash string")
+        self.decided = handle.getMapState("decided", "finding_id string", "content_hash string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object) -> Iterator[pd.DataFrame]:
+        # The rows of one packet in one micro-batch; their order needs them together.
+        batch = pd.concat(list(rows)).sort_values(["sequence", "finding_id", "content_hash"], kind="stable")
+        position, last = self.tail.get() if self.tail.exists() else (0, None)
+        out = []
+        for finding, sequence, content, expected in batch[["finding_id", "sequence", "content_hash", "expected_previous"]].itertuples(index=False):
+            if self.decided.containsKey((finding,)):
+                same = self.decided.getValue((finding,))[0] == content
+                out.append((key[0], finding, sequence, "replayed" if same else "terminal", None, None, None))
+            elif expected is not None and expected != last:
+                out.append((key[0], finding, sequence, "stale", None, None, None))
+            else:
+                record = link_digest(content, last)
+                position += 1
+                out.append((key[0], finding, sequence, "accepted", position, last, record))
+                self.decided.updateValue((finding,), (content,))
+                last = record
+        self.tail.update((position, last))
+        frame = pd.DataFrame(out, columns=_LOG.names)
+        frame["position"] = frame["position"].astype("Int64")
+        yield frame
+
+    def close(self) -> None:
+        pass
+
+
+def stream_decision_log(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    requests: Callable[[DataFrame], DataFrame],
+    *,
+    table: str,
+    checkpoint: str,
+    fmt: str = "parquet",
+    files_per_trigger: int = 1_000,
+) -> StreamingQuery:
+    """Every request with its ``status`` and its place in the packet's chain, appended to ``table``.
+
+    ``requests`` yields ``packet_id, finding_id, sequence, content_hash, expected_previous``.  The state lies with the
+    checkpoint in the shared folder: a restarted stream goes on behind the stored tails, and a micro-batch reads the state of
+    its own packets only, however many decisions are stored.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
+    text = lambda name: F.col(name).cast("string").alias(name)
+    stream = requests(_file_stream(spark, path, schema, fmt, files_per_trigger)).select(
+        text("packet_id"), text("finding_id"), F.col("sequence").cast("bigint").alias("sequence"), text("content_hash"), text("expected_previous")
+    )
+    logged = stream.groupBy("packet_id").transformWithStateInPandas(DecisionLog(), _LOG, "append", "none")
+    return (
+        logged.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
