@@ -84,17 +84,17 @@ def uniqueness(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "evidence_grounding",
     """WITH evidence AS (
-      SELECT 'D-' || doc_id AS evidence_id, doc_id, lang AS author_role, substr(text, CAST(length(text) // 3 AS BIGINT) + 1, 60) AS excerpt
+      SELECT 'D-' || doc_id AS evidence_id, doc_id, lang AS author_role, substr(text, CAST(length(text) // 3 AS BIGINT) + 1) AS excerpt
       FROM documents
-      UNION ALL SELECT 'B-' || item_id, item_id, 'en', substr(text, 1, 40) FROM benchmark
-      UNION ALL SELECT 'C-' || conv_id || '-' || turn, conv_id, role, substr(text, 1, 30) FROM conversations)
+      UNION ALL SELECT 'B-' || item_id, item_id, 'en', text FROM benchmark
+      UNION ALL SELECT 'C-' || conv_id || '-' || turn, conv_id, role, text FROM conversations)
     SELECT evidence_id, concat_ws('|', CASE WHEN d.doc_id IS NULL THEN 'unknown_document' END,
       CASE WHEN d.doc_id IS NOT NULL AND e.author_role <> d.lang THEN 'metadata_changed' END,
       CASE WHEN d.doc_id IS NOT NULL AND NOT contains(d.text, e.excerpt) THEN 'not_an_excerpt' END) AS violations
     FROM evidence e LEFT JOIN documents d ON e.doc_id = d.doc_id""",
 )
 def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Excerpts against the whole text of the document they cite."""
+    """Excerpts (the rest of a text from its first third on, whole passages, whole turns) against the whole document they cite."""
     documents = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("lang").alias("author_role"), F.lit("2026-01-01").alias("recorded_at"), "text"
     )
@@ -105,21 +105,21 @@ def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "document_id",
         "author_role",
         stamp,
-        F.substr(F.col("text"), third.cast("int"), F.lit(60)).alias("text"),
+        F.substr(F.col("text"), third.cast("int")).alias("text"),
     )
     passages = table(spark, sf_dir, "benchmark").select(
         text_id("B-", "item_id").alias("evidence_id"),
         F.col("item_id").alias("document_id"),
         F.lit("en").alias("author_role"),
         stamp,
-        F.substring("text", 1, 40).alias("text"),
+        "text",
     )
     turns = table(spark, sf_dir, "conversations").select(
         text_id("C-", "conv_id", "turn").alias("evidence_id"),
         F.col("conv_id").alias("document_id"),
         F.col("role").alias("author_role"),
         stamp,
-        F.substring("text", 1, 30).alias("text"),
+        "text",
     )
     checked = checked_grounding(quoted.unionByName(passages).unionByName(turns), documents, [])
     return checked.select("evidence_id", F.concat_ws("|", "violations").alias("violations"))
