@@ -304,7 +304,43 @@ def open_map_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- profiles --------------------------------------------------------------------
 
-_PROFILED = {"documents": ["lang", "source", "text"], "events": ["event_type", "user_id", "props", "note"]}
+#: All columns of all given tables with the type their values have.
+_TYPED_TABLES = {
+    "region": "r_regionkey integer, r_name string",
+    "nation": "n_nationkey integer, n_name string, n_regionkey integer",
+    "customer": "c_custkey integer, c_name string, c_nationkey integer, c_acctbal number, c_mktsegment string",
+    "supplier": "s_suppkey integer, s_name string, s_nationkey integer, s_acctbal number",
+    "part": "p_partkey integer, p_name string, p_brand string, p_type string, p_size integer, p_retailprice number",
+    "orders": "o_orderkey integer, o_custkey integer, o_orderstatus string, o_totalprice number, o_orderdate string, o_orderpriority string",
+    "lineitem": "l_orderkey integer, l_partkey integer, l_suppkey integer, l_linenumber integer, l_quantity number, l_extendedprice number, "
+    "l_discount number, l_tax number, l_returnflag string, l_linestatus string, l_shipdate string",
+    "events": "event_id integer, ts string, user_id integer, event_type string, value number, props string",
+    "documents": "doc_id integer, text string, lang string, source string, n_chars integer",
+    "embeddings": "vec_id integer, embedding array, label integer",
+    "pages": "page_id integer, url string, html string",
+    "benchmark": "item_id integer, text string",
+    "labels": "doc_id integer, quality integer, toxic integer",
+    "conversations": "conv_id integer, turn integer, role string, text string",
+}
+
+
+def _columns_of(spec: str) -> list[tuple[str, str]]:
+    return [tuple(column.split()) for column in spec.split(", ")]
+
+
+def _profile_sql() -> str:
+    """One row per column; an empty string counts as missing in columns of text."""
+    texts = ("note", "name", "brand", "type", "segment", "status", "priority", "flag", "props", "text", "lang", "source", "url", "html", "role")
+    parts = []
+    for name, spec in {**_TYPED_TABLES, "events": _TYPED_TABLES["events"] + ", note string"}.items():
+        source = "(SELECT *, CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN props END AS note FROM events)" if name == "events" else name
+        for column, kind in _columns_of(spec):
+            value = f"nullif({column}, '')" if kind == "string" and column.endswith(texts) else column
+            parts.append(
+                f"SELECT '{name}' AS artifact, '{column}' AS column_name, '{kind}' AS inferred_types, "
+                f"count(*) - count({value}) AS missing, count(DISTINCT {value}) AS distinct_values, count(*) AS rows FROM {source}"
+            )
+    return " UNION ALL ".join(parts)
 
 
 def _noted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,26 +349,14 @@ def _noted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "profile_columns",
-    """WITH cells AS (
-      SELECT 'documents' AS artifact, unnest(['lang', 'source', 'text']) AS column_name, unnest([lang, source, text]) AS v FROM documents
-      UNION ALL SELECT 'events', unnest(['event_type', 'user_id', 'props', 'note']), unnest([event_type, CAST(user_id AS VARCHAR), props,
-        CASE event_type WHEN 'view' THEN '' WHEN 'click' THEN props END]) FROM events)
-    SELECT artifact, column_name, CASE WHEN column_name = 'user_id' THEN 'integer' ELSE 'string' END AS inferred_types,
-      count(*) FILTER (v IS NULL OR v = '') AS missing, count(DISTINCT nullif(v, '')) AS distinct_values, count(*) AS rows
-    FROM cells GROUP BY artifact, column_name""",
-)
+@query("profile_columns", _profile_sql())
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = profile(table(spark, sf_dir, "documents"), "documents", _PROFILED["documents"])
-    return documents.unionByName(profile(_noted_events(spark, sf_dir), "events", _PROFILED["events"]))
-
-
-_TYPED_TABLES = {
-    "orders": "o_orderkey integer, o_custkey integer, o_orderstatus string, o_totalprice number, o_orderdate string, o_orderpriority string",
-    "documents": "doc_id integer, text string, lang string, source string, n_chars integer",
-    "labels": "doc_id integer, quality integer, toxic integer",
-}
+    """All columns of all tables, and one that is empty or null in part."""
+    every = profile(_noted_events(spark, sf_dir), "events")
+    for name in _TYPED_TABLES:
+        if name != "events":
+            every = every.unionByName(profile(table(spark, sf_dir, name), name))
+    return every
 
 
 def _fingerprint_sql() -> str:
@@ -350,7 +374,10 @@ def _fingerprint_sql() -> str:
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [column_types(table(spark, sf_dir, name), name) for name in _TYPED_TABLES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 @query("schema_fingerprint", _fingerprint_sql())
@@ -370,11 +397,7 @@ def drift_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("fingerprint").alias("source_schema_fingerprint"),
     )
     grown = table(spark, sf_dir, "labels").withColumn("reviewer", F.lit("r"))
-    now = (
-        column_types(table(spark, sf_dir, "orders"), "orders")
-        .unionByName(column_types(table(spark, sf_dir, "documents"), "documents"))
-        .unionByName(column_types(grown, "labels"))
-    )
+    now = _types(spark, sf_dir).filter("artifact <> 'labels'").unionByName(column_types(grown, "labels"))
     return drifted(schema_fingerprint(now, ["artifact"]), approved).select("artifact", "mapping_id")
 
 
