@@ -208,7 +208,7 @@ def pieces(a_ids: np.ndarray, a_lens: np.ndarray, b_ids: np.ndarray, b_lens: np.
 
 _PIECE_SCHEMA = (
     "step bigint, piece int, n_a int, n_b int, a_start bigint, b_start bigint, "
-    "a_ids binary, a_lens binary, b_ids binary, b_lens binary, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_bytes: bigint>>"
+    "a_ids binary, b_ids binary, docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_bytes: bigint>>"
 )
 _ARROW_PIECES = pa.schema(
     [
@@ -218,27 +218,29 @@ _ARROW_PIECES = pa.schema(
         ("n_b", pa.int32()),
         ("a_start", pa.int64()),
         ("b_start", pa.int64()),
-        *((name, pa.binary()) for name in ("a_ids", "a_lens", "b_ids", "b_lens")),
+        ("a_ids", pa.binary()),
+        ("b_ids", pa.binary()),
         ("docs", pa.list_(pa.struct([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_bytes", pa.int64())]))),
     ]
 )
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """One byte with the width, then the values in the least of 1, 2 and 4 bytes each."""
+    """One byte with the width and four with the length, then the values in 2 or 4 bytes each, compressed."""
     most = int(values.max()) if len(values) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    width = 2 if most < 1 << 16 else 4
+    raw = values.astype(f"<u{width}").tobytes()
+    return bytes([width]) + len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+def _unpacked(packed: bytes) -> np.ndarray:
+    raw = pa.decompress(packed[5:], int.from_bytes(packed[1:5], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, f"<u{packed[0]}").astype(np.int64)
 
 
 def _stored(step: int, number: int, piece: Piece) -> dict:
+    """A piece as a row; the bytes of its tokens follow from their ids (``Sizes``)."""
     b_start = int(piece.b_ends[0]) if len(piece.b_ends) else 0
-    a_lens = np.diff(piece.a_ends, prepend=piece.a_start)
-    b_lens = np.diff(piece.b_ends)
     return {
         "step": step,
         "piece": number,
@@ -247,18 +249,22 @@ def _stored(step: int, number: int, piece: Piece) -> dict:
         "a_start": piece.a_start,
         "b_start": b_start,
         "a_ids": _packed(piece.a_ids),
-        "a_lens": _packed(a_lens),
         "b_ids": _packed(piece.b_ids),
-        "b_lens": _packed(b_lens),
         "docs": None,
     }
 
 
-def _loaded(row: dict) -> Piece:
-    b_ids = _unpacked(row["b_ids"])
-    a_ends = row["a_start"] + np.cumsum(_unpacked(row["a_lens"]))
-    b_ends = row["b_start"] + np.concatenate([[0], np.cumsum(_unpacked(row["b_lens"]))])[: len(b_ids)]
-    return Piece(row["n_a"], row["n_b"], row["a_start"], _unpacked(row["a_ids"]), a_ends, b_ids, b_ends)
+class Sizes(NamedTuple):
+    """Bytes of every token of both vocabularies."""
+
+    a: np.ndarray
+    b: np.ndarray
+
+    def load(self, row: dict) -> Piece:
+        a_ids, b_ids = _unpacked(row["a_ids"]), _unpacked(row["b_ids"])
+        a_ends = row["a_start"] + np.cumsum(self.a[a_ids], dtype=np.int64)
+        b_ends = row["b_start"] + np.concatenate([[0], np.cumsum(self.b[b_ids[1:]], dtype=np.int64)])[: len(b_ids)]
+        return Piece(row["n_a"], row["n_b"], row["a_start"], a_ids, a_ends, b_ids, b_ends)
 
 
 class _Step:
@@ -328,7 +334,7 @@ def _codes(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
     return (piece.a_ids[at_a] << 32) | piece.b_ids[at_b], ends
 
 
-def count_links(stored: DataFrame) -> DataFrame:
+def count_links(stored: DataFrame, sizes: Sizes) -> DataFrame:
     """``(step, pair, n)``: overlaps of each id pair, summed over the pieces of a step that lie together."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +352,7 @@ def count_links(stored: DataFrame) -> DataFrame:
                 if row["step"] != step:
                     yield from summed()
                     step, held = row["step"], []
-                held.append(np.unique(_codes(_loaded(row))[0], return_counts=True))
+                held.append(np.unique(_codes(sizes.load(row))[0], return_counts=True))
         yield from summed()
 
     columns = [c for c in stored.columns if c != "docs"]
@@ -395,7 +401,7 @@ def _names(most: int) -> list[bytes]:
     return _NAMES
 
 
-def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
+def _score_step(sizes: Sizes, stored: pa.Table, scored: pa.Table) -> pa.Table:
     _PAIRS.clear()
     rows = stored.to_pylist()
     rows.sort(key=lambda r: r["piece"])
@@ -422,7 +428,7 @@ def _score_step(key: tuple, stored: pa.Table, scored: pa.Table) -> pa.Table:
             np.add.at(totals[name], at, values)
 
     for row in rows[1:]:
-        piece = _loaded(row)
+        piece = sizes.load(row)
         pairs, ends = _codes(piece)
         at = np.searchsorted(table, pairs)
         add("n_links", ends)
@@ -478,11 +484,17 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     A text of any length is encoded in segments, merged piece by piece and digested as its pieces come.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    encoder = PairEncoder(a_path, b_path)
+    sizes = Sizes(encoder.a_spelled.lens, encoder.b_spelled.lens)
     stored = materialize(encode_pieces(rows, a_path, b_path, piece_ends), "token-pieces")
-    links = materialize(count_links(stored), "pair-links")
+    links = materialize(count_links(stored, sizes), "pair-links")
     counts = materialize(pair_counts(links), "scored-pairs")
     scored = links.select("step", "pair").join(counts, "pair").select("step", "pair", "count", "best")
     schema = (
         "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
     )
-    return stored.groupBy("step").cogroup(scored.groupBy("step")).applyInArrow(_score_step, schema)
+
+    def score(key: tuple, pieces_here: pa.Table, pairs_here: pa.Table) -> pa.Table:
+        return _score_step(sizes, pieces_here, pairs_here)
+
+    return stored.groupBy("step").cogroup(scored.groupBy("step")).applyInArrow(score, schema)
