@@ -121,28 +121,24 @@ def tree_roots(tree: DataFrame, by: Sequence[str], name: str = "root") -> DataFr
     return tree.select(*by, leaf.alias("_digest")).groupBy(*by).agg(multiset_fingerprint(F.col("_digest")).alias(name))
 
 
-def altered_rows(
-    original: DataFrame, now: DataFrame, by: Sequence[str], key: str, columns: Sequence[str], leaves: int = 256
-) -> DataFrame:
+def altered_rows(original: DataFrame, now: DataFrame, by: Sequence[str], key: str, columns: Sequence[str]) -> DataFrame:
     """``(*by, key, change)``: keys whose rows were ``altered``, ``removed`` or ``added`` since ``original``.
 
-    Leaves are compared first; only rows of leaves that differ are grouped by their key, and a key with several rows is
-    compared by all of them.
+    Every row is digested once and the copies of a digest are counted on both sides, before and after one shuffle, so a
+    key with several rows is compared by all of them.  Groups whose roots (``tree_roots``) agree with stored ones can be left out by the caller.
     """
-    kept, found = (digest_tree(df, by, key, columns, leaves) for df in (original, now))
-    pairs = kept.alias("a").join(found.alias("b"), [*by, "leaf"], "full")
-    differ = ~F.col("a.fingerprint").eqNullSafe(F.col("b.fingerprint"))
-    suspect = pairs.filter(differ).select(*by, "leaf")
-    leaf = F.pmod(F.xxhash64(key), F.lit(leaves)).cast("int")
-
-    def inside(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(*by, key, leaf.alias("leaf"), row_digest(df, list(columns)).alias(name))
-        found = rows.join(suspect, [*by, "leaf"], "left_semi")
-        return found.groupBy(*by, key).agg(multiset_fingerprint(F.col(name)).alias(name))
-
-    both = inside(original, "_was").join(inside(now, "_is"), [*by, key], "full")
-    change = F.when(F.col("_is").isNull(), "removed").when(F.col("_was").isNull(), "added").otherwise("altered")
-    return both.filter(~F.col("_was").eqNullSafe(F.col("_is"))).select(*by, key, change.alias("change"))
+
+    def digested(df: DataFrame, was: int) -> DataFrame:
+        digest = F.unhex(row_digest(df, list(columns))).alias("_digest")
+        return df.select(*by, key, digest, F.lit(was).alias("_was"), F.lit(1 - was).alias("_is"))
+
+    both = digested(original, 1).unionByName(digested(now, 0))
+    copies = both.groupBy(*by, key, "_digest").agg(F.sum("_was").alias("_was"), F.sum("_is").alias("_is"))
+    keys = copies.groupBy(*by, key).agg(
+        F.max("_was").alias("_was"), F.max("_is").alias("_is"), F.bool_or(F.col("_was") != F.col("_is")).alias("_differs")
+    )
+    change = F.when(F.col("_is") == 0, "removed").when(F.col("_was") == 0, "added").otherwise("altered")
+    return keys.filter("_differs").select(*by, key, change.alias("change"))
 
 
 def check_identifiers(df: DataFrame, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -175,7 +175,7 @@ _LINE_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_ret
     FROM was FULL JOIN rest USING (plan_id, item) WHERE was.b IS DISTINCT FROM rest.b""",
 )
 def plan_tampering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of plans that were altered, removed or added, found by the leaves of their digest trees."""
+    """Items of plans that were altered, removed or added, found by the digests of their rows."""
     lines = table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") % 50).alias("plan_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), *_LINE_COLUMNS
     )
