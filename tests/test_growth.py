@@ -23,3 +23,16 @@ def test_altered_rows_takes_every_row_once(spark):
     assert {(r.item, r.change) for r in changed.collect()} == {(i, "altered") for i in [8, *range(1000, 3000)]}
     # Digests of both sides are shuffled once and no row is joined back to its leaf.
     assert "Join" not in plan_of(changed)
+
+
+def test_delimited_files_grow_in_number(spark, tmp_path, monkeypatch):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    lines.repartition(7).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(ingest, "scratch_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        row = QUERIES["scan_row_numbers"](spark, str(tmp_path)).head()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (row.rows_read, row.highest_sum, row.gaps) == (lines.count(), lines.count(), 0)
+    assert len(list((tmp_path / "lineitem-csv").glob("part-*.csv"))) >= 7
