@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from claimweave.functions.canonical import canonical_hash
 
 TRUNCATED = "…[truncated]"
+#: Longer values are compared by this many bytes of their digest; shorter ones by themselves.
+_DIGEST_BYTES = 16
 
 
 def primitive_type(kind: T.DataType) -> str:
@@ -67,33 +69,37 @@ def profile(df: DataFrame, artifact: str, columns: Sequence[str] | None = None,
     names = [name for name in (columns or df.columns) if name != "_row_number"]
     source = df.filter(F.col("_row_number") <= max_rows) if max_rows else df
     kinds = {field.name: field.dataType for field in df.schema.fields}
+    # What is shuffled per value is narrow: the number of its column and the value, as it stands or as 128 bits of its
+    # digest if it is longer.  Only the types of variants differ by row and go along.
+    typed = ["type"] if any(isinstance(kinds[name], T.VariantType) for name in names) else []
     cells = F.array(
         *[
             F.struct(
-                F.lit(name).alias("column_name"),
+                F.lit(i).cast("int").alias("at"),
                 _rendered(name, kinds[name]).alias("value"),
-                _type_of(name, kinds[name]).alias("type"),
+                *[F.when(F.lit(isinstance(kinds[name], T.VariantType)), _type_of(name, kinds[name])).alias("type") for _ in typed],
             )
-            for name in names
+            for i, name in enumerate(names)
         ]
     )
     long = source.select(F.explode(cells).alias("c")).select("c.*")
     missing = F.col("value").isNull() | (F.col("value") == "")
-    keyed = long.select(
-        "column_name",
-        F.when(~missing, F.unhex(F.sha2("value", 256))).alias("digest"),
-        F.when(~missing, F.col("type")).alias("type"),
-    )
-    per_value = keyed.groupBy("column_name", "digest", "type").agg(F.count(F.lit(1)).alias("n"))
-    per_column = per_value.groupBy("column_name").agg(
-        F.array_sort(F.collect_set("type")).alias("types"),
+    short = F.octet_length("value") < _DIGEST_BYTES
+    key = F.when(short, F.col("value").cast("binary")).otherwise(F.unhex(F.left(F.sha2("value", 256), F.lit(2 * _DIGEST_BYTES))))
+    keyed = long.select("at", F.when(~missing, key).alias("digest"), *[F.when(~missing, F.col(name)).alias(name) for name in typed])
+    per_value = keyed.groupBy("at", "digest", *typed).agg(F.count(F.lit(1)).alias("n"))
+    fixed = F.get(F.array(*[F.lit(None if isinstance(kinds[name], T.VariantType) else primitive_type(kinds[name])).cast("string") for name in names]), F.col("at"))
+    seen = F.when(F.col("digest").isNotNull(), F.coalesce(fixed, *[F.col(name) for name in typed]))
+    column_name = F.get(F.array(*[F.lit(name) for name in names]), F.col("at")).alias("column_name")
+    per_column = per_value.groupBy("at").agg(
+        F.array_sort(F.collect_set(seen)).alias("types"),
         F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
         F.count("digest").alias("distinct_values"),
         F.sum("n").alias("rows"),
     )
     types = F.when(F.size("types") == 0, F.lit("null")).otherwise(F.concat_ws(",", "types"))
     return per_column.select(
-        F.lit(artifact).alias("artifact"), "column_name", types.alias("inferred_types"), "missing", "distinct_values", "rows"
+        F.lit(artifact).alias("artifact"), column_name, types.alias("inferred_types"), "missing", "distinct_values", "rows"
     )
 
 

@@ -36,3 +36,13 @@ def test_delimited_files_grow_in_number(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert (row.rows_read, row.highest_sum, row.gaps) == (lines.count(), lines.count(), 0)
     assert len(list((tmp_path / "lineitem-csv").glob("part-*.csv"))) >= 7
+
+
+def test_profile_shuffles_narrow_keys(spark):
+    texts = ["a", "a", "", None, "x" * 15, "x" * 16, "x" * 16, "x" * 17, "y" * 500]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    found = profile(df, "f")
+    assert {tuple(r)[1:] for r in found.collect()} == {("n", "integer", 0, 9, 9), ("t", "string", 2, 5, 9)}
+    assert "hashpartitioning(at" in plan_of(found) and "hashpartitioning(column_name" not in plan_of(found)
+    open_map = df.select(F.parse_json(F.when(F.col("n") < 4, F.lit("1")).when(F.col("n") < 6, F.lit("true")).otherwise(F.lit('"1"'))).alias("v"), "n")
+    assert {tuple(r)[1:] for r in profile(open_map, "f").collect()} == {("v", "boolean,integer,string", 0, 3, 9), ("n", "integer", 0, 9, 9)}
