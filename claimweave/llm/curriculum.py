@@ -81,7 +81,17 @@ def time_of(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
     return F.least(F.greatest(result, F.lit(0.0)), F.lit(1.0))
 
 
-def mix(
+def mix(docs: DataFrame, *arguments, **options) -> DataFrame:
+    """The rows of :func:`planned_mix`, range-sorted: in order of their first training time, those that are not taken last.
+
+    A range of times is one partition, so partitions follow each other as the training does.
+    """
+    planned = planned_mix(docs, *arguments, **options)
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), *[F.col(name).asc_nulls_last() for name in ("doc_id", "source", "size")]]
+    return planned.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def planned_mix(
     docs: DataFrame,
     epochs: int = EPOCHS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
@@ -190,7 +200,7 @@ def training_order(docs: DataFrame, text_col: str = "text") -> DataFrame:
     The plan is made of keys and sizes; texts are joined to it once, at the end.
     """
     keyed = _with_row(docs)
-    planned = mix(keyed, text_col=text_col, row_col="__row").filter(F.size("positions") > 0)
+    planned = planned_mix(keyed, text_col=text_col, row_col="__row").filter(F.size("positions") > 0)
     planned = planned.select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"), F.col("positions").alias("_positions"))
     # The files of a Parquet scan have one row per key and place, however often they are read.
     copies = keyed.join(planned, F.col("__row") == F.col("_row")).select(

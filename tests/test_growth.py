@@ -1,12 +1,17 @@
 """Steps whose tasks, shuffles or keys must not grow faster than the input."""
 
-import pytest
+import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from claimweave.llm import curriculum
+from claimweave.llm.queries import QUERIES as CORPUS
+from claimweave.operators import mapping
+from claimweave.operators.ontology import Ontology, checked_relations
 from claimweave.operators.packets import altered_rows
 from claimweave.operators.profile import profile
 from claimweave.plans import QUERIES, ingest
+from claimweave.session import materialize
+from claimweave.streaming.jobs import DecisionLog
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,3 +51,12 @@ def test_profile_shuffles_narrow_keys(spark):
     assert "hashpartitioning(at" in plan_of(found) and "hashpartitioning(column_name" not in plan_of(found)
     open_map = df.select(F.parse_json(F.when(F.col("n") < 4, F.lit("1")).when(F.col("n") < 6, F.lit("true")).otherwise(F.lit('"1"'))).alias("v"), "n")
     assert {tuple(r)[1:] for r in profile(open_map, "f").collect()} == {("v", "boolean,integer,string", 0, 3, 9), ("n", "integer", 0, 9, 9)}
+
+
+def test_mix_is_sorted_by_training_time(spark):
+    mixed = curriculum.mix(spark.read.parquet(f"{SF}/documents.parquet"))
+    parts = [[(r.positions[0] if r.positions else 2.0, r.doc_id) for r in part] for part in mixed.rdd.glom().collect()]
+    rows = [row for part in parts for row in part]
+    assert rows == sorted(rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    first = [r.first_position for r in CORPUS["op3_curriculum_mix"](spark, SF).collect()]
+    assert [p for p in first if p is not None] == sorted(p for p in first if p is not None)
