@@ -142,8 +142,12 @@ def checked_relations(
     key = [*scope, "relation_id"]
     definition = ontology.relations.select(F.col("relation_id").alias("predicate"), "requires_evidence", F.lit(True).alias("_predicate"))
     types = entities.select(*scope, "entity_id", "entity_type")
+    # The lists of a relation become flags first, so the joins carry no lists that the caller does not select.
+    flagged = relations.withColumns(
+        {"_bare": F.size("evidence_ids") == 0, "_overlap": overlap(F.col("evidence_ids"), F.col("contradicting_evidence_ids"))}
+    )
     typed = (
-        relations.join(
+        flagged.join(
             types.withColumnsRenamed({"entity_id": "source_id", "entity_type": "_source_type"}), [*scope, "source_id"], "left"
         )
         .join(types.withColumnsRenamed({"entity_id": "target_id", "entity_type": "_target_type"}), [*scope, "target_id"], "left")
@@ -174,11 +178,11 @@ def checked_relations(
             unknown_predicate=F.col("_predicate").isNull(),
             invalid_source=F.col("_predicate") & F.col("_source_type").isNotNull() & F.col("_in_domain").isNull(),
             invalid_target=F.col("_predicate") & F.col("_target_type").isNotNull() & F.col("_in_range").isNull(),
-            requires_evidence=F.col("requires_evidence") & (F.size("evidence_ids") == 0),
-            overlap=overlap(F.col("evidence_ids"), F.col("contradicting_evidence_ids")),
+            requires_evidence=F.col("requires_evidence") & F.col("_bare"),
+            overlap=F.col("_overlap"),
             unknown_evidence=F.col("_unknown"),
         ),
-    ).drop("_source_type", "_target_type", "_predicate", "_in_domain", "_in_range", "_unknown", "requires_evidence")
+    ).drop("_bare", "_overlap", "_source_type", "_target_type", "_predicate", "_in_domain", "_in_range", "_unknown", "requires_evidence")
 
 
 def structural_rows(cases: DataFrame, template: Sequence[Mapping[str, object]], case: str = "case_id") -> DataFrame:

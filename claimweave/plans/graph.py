@@ -91,19 +91,17 @@ def relation_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     none = F.array().cast("array<string>")
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
-    relations = (
-        lines.join(orders, "l_orderkey")
-        .select(
-            F.concat_ws(
-                "-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], F.concat(flag, status)
-            ).alias("relation_id"),
-            F.when(flag == "R", "returns").when((status == "F") & (flag == "A"), "audits").otherwise("supplies").alias("predicate"),
-            text_id("S-", "l_suppkey").alias("source_id"),
-            text_id("C-", "o_custkey").alias("target_id"),
-            F.when(F.col("l_linenumber") == 7, none).otherwise(F.array(text_id("O-", "l_orderkey"))).alias("evidence_ids"),
-            none.alias("contradicting_evidence_ids"),
-        )
-        .distinct()
+    keys = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    predicate = F.when(flag == "R", "returns").when((status == "F") & (flag == "A"), "audits").otherwise("supplies").alias("predicate")
+    # Equal relations are found by their numbers, before identifiers are spelled out.
+    distinct = lines.join(orders, "l_orderkey").select(*keys, F.concat(flag, status).alias("code"), predicate, "o_custkey").distinct()
+    relations = distinct.select(
+        F.concat_ws("-", *[F.col(c).cast("string") for c in keys], "code").alias("relation_id"),
+        "predicate",
+        text_id("S-", "l_suppkey").alias("source_id"),
+        text_id("C-", "o_custkey").alias("target_id"),
+        F.when(F.col("l_linenumber") == 7, none).otherwise(F.array(text_id("O-", "l_orderkey"))).alias("evidence_ids"),
+        none.alias("contradicting_evidence_ids"),
     )
     suppliers = table(spark, sf_dir, "supplier").select(
         text_id("S-", "s_suppkey").alias("entity_id"), text_id("N-", "s_nationkey").alias("entity_type")

@@ -60,3 +60,18 @@ def test_mix_is_sorted_by_training_time(spark):
     assert rows == sorted(rows) and len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     first = [r.first_position for r in CORPUS["op3_curriculum_mix"](spark, SF).collect()]
     assert [p for p in first if p is not None] == sorted(p for p in first if p is not None)
+
+
+def test_relation_checks_join_without_lists(spark):
+    empty = lambda schema: spark.createDataFrame([], schema)
+    relations = empty("relation_id string, predicate string, source_id string, target_id string, evidence_ids array<string>, contradicting_evidence_ids array<string>")
+    definition = Ontology(empty("class_id string"), empty("relation_id string, domain array<string>, range array<string>, requires_evidence boolean"), empty("value_set string"))
+    checked = checked_relations(relations, empty("entity_id string, entity_type string"), empty("evidence_id string"), definition, empty("class_id string, ancestor string"), scope=[])
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.ConvertToLocalRelation,org.apache.spark.sql.catalyst.optimizer.PropagateEmptyRelation")
+    try:
+        lines = checked.select("relation_id", "violations")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.optimizer.excludedRules")
+    # Above the joins the lists are flags.
+    first_join = next(i for i, line in enumerate(lines) if "Join" in line)
+    assert not any("evidence_ids" in line for line in lines[: first_join + 1])
