@@ -75,3 +75,62 @@ def test_relation_checks_join_without_lists(spark):
     # Above the joins the lists are flags.
     first_join = next(i for i, line in enumerate(lines) if "Join" in line)
     assert not any("evidence_ids" in line for line in lines[: first_join + 1])
+
+
+class Calls:
+    """State of one packet in memory, with the number of its calls."""
+
+    def __init__(self):
+        self.value, self.map, self.calls = None, {}, 0
+
+    def getValueState(self, name, *schemas):
+        return self
+
+    getMapState = getListState = getValueState
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+
+def requests(low, high, content="c"):
+    rows = [(i, f"f{i}", f"{content}{i}", None) for i in range(low, high)]
+    return pd.DataFrame(rows, columns=["sequence", "finding_id", "content_hash", "expected_previous"])
+
+
+def decided(log, *batches):
+    handle = Calls()
+    log.init(handle)
+    out = pd.concat([frame for batch in batches for frame in log.handleInputRows(("p",), iter([batch]), None)])
+    return handle.calls, out.drop(columns="packet_id").astype(object).where(out.drop(columns="packet_id").notna(), None).values.tolist()
+
+
+def test_decision_log_calls_its_state_per_batch():
+    batches = (requests(10, 60), requests(0, 70), requests(5, 8, "other"))
+    calls, whole = decided(DecisionLog(), *batches)
+    assert calls <= 6 and [row[2] for row in whole].count("accepted") == 70
+    assert [row[2] for row in whole].count("replayed") == 50 and [row[2] for row in whole].count("terminal") == 3
+    odd = pd.DataFrame([(1, None, None, None), (2, None, None, None), (2, "f", None, None)], columns=batches[0].columns)
+    assert [row[2] for row in decided(DecisionLog(), odd, odd)[1]] == ["accepted", "accepted", "replayed", "replayed", "replayed", "replayed"]
+    # Findings beyond those that lie with the tail are known as well.
+    assert decided(DecisionLog(listed=7), *batches)[1] == whole
