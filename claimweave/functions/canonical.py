@@ -48,13 +48,16 @@ def multiset_fingerprint(digest: Column) -> Column:
     (and any skew) costs one fixed-width buffer per task, where hashing a sorted
     list would gather the table in one row.  Duplicated rows count.
     """
-    words = [
-        F.sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")).cast("string")
-        for i in range(8)
-    ]
+    words = [_word_sum(F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("bigint")).cast("string") for i in range(8)]
     return F.sha2(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *words), 256)
 
 
+def _word_sum(word: Column) -> Column:
+    """Exact sum of 32-bit words: the halves are summed as integers, which hold for 2^47 rows and need no decimals per row."""
+    high, low = F.sum(F.shiftright(word, 16)), F.sum(word.bitwiseAND(F.lit(0xFFFF)))
+    return high.cast("decimal(28,0)") * F.lit(1 << 16).cast("decimal(6,0)") + low.cast("decimal(20,0)")
+
+
 def dataset_fingerprint(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Fingerprint of a table, or of every group of it."""
     digested = df.select(*(by or []), row_digest(df, columns).alias("_digest"))

@@ -219,9 +219,10 @@ def account(inputs: Mapping[str, DataFrame], tables: Mapping[str, DataFrame]) ->
     stored, metrics = {}, []
     for name, table in tables.items():
         seen = Observation(f"{name}-{uuid.uuid4().hex}")
-        digest = row_digest(table, table.columns)
-        observed = table.observe(seen, F.count(F.lit(1)).alias("rows"), multiset_fingerprint(digest).alias("fingerprint"))
-        stored[name] = materialize(observed, f"run-{name}")
+        # An observed metric computes its expressions anew in every sum, so the digest is a column first.
+        digested = table.withColumn("_digest", row_digest(table, table.columns))
+        observed = digested.observe(seen, F.count(F.lit(1)).alias("rows"), multiset_fingerprint(F.col("_digest")).alias("fingerprint"))
+        stored[name] = materialize(observed.drop("_digest"), f"run-{name}")
         metrics.append(("output", name, seen.get["rows"], seen.get["fingerprint"]))
     spark = stored["rejects"].sparkSession
     written = spark.createDataFrame(metrics, "side string, table_name string, rows bigint, fingerprint string")

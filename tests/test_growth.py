@@ -134,3 +134,12 @@ def test_decision_log_calls_its_state_per_batch():
     assert [row[2] for row in decided(DecisionLog(), odd, odd)[1]] == ["accepted", "accepted", "replayed", "replayed", "replayed", "replayed"]
     # Findings beyond those that lie with the tail are known as well.
     assert decided(DecisionLog(listed=7), *batches)[1] == whole
+
+
+def test_digests_are_computed_once_per_row(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(mapping, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df, name))
+    table = spark.range(10).withColumn("v", F.rand(1))
+    stored = mapping.account({"in": table}, {"t": table, "rejects": spark.createDataFrame([], "resource string, violations array<string>")})
+    assert stored["t"].columns == ["id", "v"] and len(plans) == 2
+    assert not any("to_json" in line for plan in plans for line in plan.splitlines() if "CollectMetrics" in line)
