@@ -1,5 +1,7 @@
 """Steps whose tasks, shuffles or keys must not grow faster than the input."""
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from claimweave.operators.packets import altered_rows
 from claimweave.operators.profile import profile
 from claimweave.plans import QUERIES, ingest
 from claimweave.session import materialize
+from claimweave.sources.inventory import IngestPolicy, content_digests, inventory
 from claimweave.streaming.jobs import DecisionLog
 
 SF = "/root/testdata/sf0.001"
@@ -143,3 +146,16 @@ def test_digests_are_computed_once_per_row(spark, monkeypatch):
     stored = mapping.account({"in": table}, {"t": table, "rejects": spark.createDataFrame([], "resource string, violations array<string>")})
     assert stored["t"].columns == ["id", "v"] and len(plans) == 2
     assert not any("to_json" in line for plan in plans for line in plan.splitlines() if "CollectMetrics" in line)
+
+
+def test_refused_files_are_listed_and_not_read(spark, tmp_path, monkeypatch):
+    (tmp_path / "small.csv").write_text("x")
+    (tmp_path / "large.csv").write_text("x" * 100)
+    policy = IngestPolicy(max_file_bytes=50)
+    monkeypatch.setattr(ingest, "inventory", lambda spark, root: inventory(spark, root, policy))
+    monkeypatch.setattr(ingest, "content_digests", lambda spark, root: content_digests(spark, root, policy))
+    found = QUERIES["folder_inventory"](spark, str(tmp_path))
+    assert {(r.path, r.size_bytes, r.sha256) for r in found.collect()} == {
+        ("small.csv", 1, hashlib.sha256(b"x").hexdigest()),
+        ("large.csv", 100, None),
+    }
