@@ -39,16 +39,15 @@ def write_tokens(
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         before = 0
         for batch in steps(batches):
-            rows = [ids + tail for ids in encoder(tokenizer).encode(batch.column("text").to_pylist())]
-            lengths = np.fromiter((len(r) >> 2 for r in rows), np.int64, len(rows))
-            ends = np.cumsum(lengths)
-            offsets = np.concatenate([[0], ends]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4")))
+            found, ends = encoder(tokenizer).encode_column(batch.column("text"))
+            if end_id is not None:
+                found, ends = np.insert(found, ends[1:], end_id), ends + np.arange(len(ends))
+            lengths = np.diff(ends)
+            ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(found.view("<i4")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(lengths), pa.array(before + ends - lengths), ids],
+                [batch.column("doc_id"), pa.array(lengths), pa.array(before + ends[:-1]), ids],
                 ["doc_id", "n_tokens", "before", "ids"],
             )
             before += int(ends[-1])

@@ -32,11 +32,92 @@ _BYTES_MIXED = re.compile(rb"[ \t\n\r]*[^ \t\n\r]*[\x80-\xff][^ \t\n\r]*|" + _BY
 _WORDS = rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\sa-z0-9]+"
 _WORDS_ASCII = re.compile(_WORDS)
 _WORDS_MIXED = re.compile(rb"(?<!\S)\S*[\x80-\xff]\S*|" + _WORDS)
-# Letters U+00C0 to U+024F, but for the one that lower-casing splits; with marks after them.
+# Letters U+00C0 to U+024F, but for the one that lower-casing splits.
 _LETTERS = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc5-\xc8][\x80-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc9[\x80-\x8f])+"
-_MARK = rb"[!-/:-@\[-`{-~]+"
-_WORD_AND_MARK = re.compile(rb"(%s)(%s)" % (_LETTERS, _MARK))
-_ONE_WORD = re.compile(rb"%s|[0-9]|%s" % (_MARK, _LETTERS))
+_WORD = rb"(?:[!-/:-@\[-`{-~]+|[0-9]|%s)" % _LETTERS
+_ONE_WORD, _ONLY_WORDS = re.compile(_WORD), re.compile(rb"(?:%s\n)*%s" % (_WORD, _WORD))
+# Units that a tokenizer of the bytes kind cuts off where the next one begins with a space.
+_AFTER_SPACE = rb" (?:[!-~]|\xc3[\x80-\xbf]|[\xc4-\xc9][\x80-\xbf])+"
+_SPACED, _ONLY_SPACED = re.compile(_AFTER_SPACE), re.compile(rb"(?:%s\n)*%s" % (_AFTER_SPACE, _AFTER_SPACE))
+
+# The same patterns as classes of bytes.
+_SPACE, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[list(b" \t\n\x0b\x0c\r")] = _SPACE
+_CLASS[list(range(0x30, 0x3A))] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[0x80:] = _OTHER
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: Second bytes of the letters above, by their first byte.
+_LATIN = np.zeros((256, 256), bool)
+for _lead, _first, _last in ((0xC3, 0x80, 0xBF), (0xC4, 0x80, 0xBF), *((x, 0x80, 0xBF) for x in range(0xC5, 0xC9)), (0xC9, 0x80, 0x8F)):
+    _LATIN[_lead, _first : _last + 1] = True
+_LATIN[0xC3, [0x97, 0xB7]] = _LATIN[0xC4, 0xB0] = False
+# Bytes of texts that ``Encoder.units`` cuts: of marks that are composed; of controls and white space that is not ASCII.
+_ODD_WORDS, _ODD_BYTES = np.zeros(256, bool), np.zeros(256, bool)
+_ODD_WORDS[[0xCC, 0xCD]] = True
+_ODD_BYTES[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _classes(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Class of every byte; a run without white space that holds any other letter is of one class.  ``begins``: where a text begins."""
+    found = _CLASS[raw]
+    high = np.flatnonzero(raw >= 0x80)
+    if not len(high):
+        return found
+    latin = high[:-1][_LATIN[raw[high[:-1]], raw[high[:-1] + 1]]]
+    found[latin] = found[latin + 1] = _LETTER
+    other = high[found[high] == _OTHER]
+    if len(other):
+        solid = found != _SPACE
+        head = solid & begins
+        head[1:] |= solid[1:] & ~solid[:-1]
+        tail = solid.copy()
+        tail[:-1] &= ~solid[1:] | begins[1:]
+        heads, tails = np.flatnonzero(head), np.flatnonzero(tail) + 1
+        runs = np.unique(np.searchsorted(heads, other, side="right") - 1)
+        change = np.zeros(len(raw) + 1, np.int8)
+        change[heads[runs]] += 1
+        change[tails[runs]] -= 1
+        found[np.cumsum(change[:-1], dtype=np.int8) > 0] = _OTHER
+    return found
+
+
+def cut_words(raw: np.ndarray, begins: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes to look up, which of the given bytes they are and at which of the given bytes a unit begins.
+
+    ``raw`` are the bytes of texts one after the other, ``begins`` tells where each begins; ``lower``: the words kind, else the bytes kind.
+    """
+    if lower:
+        raw = _LOWER[raw]
+    of = _classes(raw, begins)
+    space = of == _SPACE
+    first = begins.copy()
+    first[1:] |= of[1:] != of[:-1]
+    if lower:
+        first |= of == _DIGIT
+    else:
+        # A space goes to what follows it, other white space before a word is apart; a run with other letters takes it all.
+        at = np.flatnonzero(first[1:] & space[:-1] & ~space[1:] & ~begins[1:]) + 1
+        plain = raw[at - 1] == 0x20
+        whole = of[at] == _OTHER
+        first[at[plain | whole]] = False
+        first[at[~whole] - 1] = True
+    mark = np.flatnonzero((raw == 0x27) & (of == _MARK))
+    if len(mark):
+        before = np.maximum(mark - 1, 0)
+        taken = (of[before] == _MARK) if lower else (of[before] == _MARK) | (raw[before] == 0x20)
+        mark = mark[begins[mark] | ~taken]
+        padded = np.concatenate([raw, np.zeros(3, np.uint8)])
+        open_ = np.concatenate([~begins, np.zeros(3, bool)])  # a text goes on here
+        one, two = padded[mark + 1], padded[mark + 2]
+        short = open_[mark + 1] & np.isin(one, list(b"stmd"))
+        long = open_[mark + 1] & open_[mark + 2] & (((np.isin(one, list(b"rv"))) & (two == 0x65)) | ((one == 0x6C) & (two == 0x6C)))
+        ends = np.concatenate([mark[short] + 2, mark[long] + 3])
+        first[mark[short | long] + 1] = False
+        first[ends[ends < len(first)]] = True
+    return raw, ~space if lower else np.ones(len(raw), bool), first
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -55,19 +136,39 @@ def steps(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def _parts(raw: bytes, ends: np.ndarray) -> Iterator[bytes]:
+    """Parts of ``raw`` that follow each other up to these ends."""
+    cuts = ends.tolist()
+    return map(raw.__getitem__, map(slice, [0, *cuts[:-1]], cuts))
+
+
+def _joined(units: list[bytes], by: bytes, one: re.Pattern, only: re.Pattern) -> list[tuple[list[bytes], bytes]]:
+    """Groups of the units that match ``one`` and hold no special string, and their units joined; ``only`` tests a group at once, in lines."""
+    found = []
+    for i in range(0, len(units), JOIN_UNITS):
+        group = units[i : i + JOIN_UNITS]
+        lines = b"\n".join(group)
+        if b"<|" in lines or not only.fullmatch(lines):
+            group = [unit for unit in group if one.fullmatch(unit) and b"<|" not in unit]
+        if group:
+            found.append((group, by.join(group)))
+    return found
+
+
 class Encoder:
     """Ids of whole texts, exactly as the library gives them for the whole text.
 
-    A text is cut into *units* that no token can reach across.  ASCII words are cut as the tokenizer's own
-    pattern cuts them:
+    A text is cut into *units* that no token can reach across.  ASCII and Latin words are cut as the tokenizer's own
+    pattern cuts them, all texts of a step at once (``cut_words``):
 
-    * words kind (white space is dropped, letters are lowered): letters, single digits and runs of marks;
+    * words kind (white space is dropped, ASCII letters are lowered): letters, single digits and runs of marks;
       a word with any other letter stays whole, with the marks on it;
     * bytes kind (byte-level pattern): the same with the space before; a word with any other letter stays whole,
       with the white space before it.  A text where white space of both kinds meets is encoded in one piece.
 
-    The distinct units of a step that the cache does not hold are joined by a special token and
-    given to the library in batches of about equal bytes.  Units that themselves hold the start
+    Texts with special strings, composed marks or odd white space are cut one by one (``units``).
+    The distinct units of a step that the cache does not hold are joined by spaces where the tokenizer cuts there, else
+    by a special token, and given to the library in batches of about equal bytes.  Units that themselves hold the start
     of a special string go through the library one by one, so these strings are handled
     as the library does by default, or as text (``plain``).
     """
@@ -87,7 +188,11 @@ class Encoder:
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
+        #: Bytes of every token of the bytes kind, whose names have a letter for each byte.
+        self.sizes = np.zeros(len(self.closing), np.int64)
+        self.sizes[list(vocabulary.values())] = [len(name) for name in vocabulary]
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def units(self, text: str) -> list[bytes] | None:
         """Units of a text, or None where it must stay whole."""
@@ -118,28 +223,33 @@ class Encoder:
         return array.array("I", self.single.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, missing: list[bytes]) -> None:
-        """Ids of units that the cache lacks; a word with other letters and the marks after it are looked up apart."""
-        if not self.words:
-            self._learn_units(missing)
-            return
-        parts = {unit: match.groups() for unit in missing if not unit.isascii() and (match := _WORD_AND_MARK.fullmatch(unit))}
-        wanted = {part for pair in parts.values() for part in pair if part not in self.cache}.difference(missing)
-        self._learn_units(self._learn_words([*(unit for unit in missing if unit not in parts), *wanted]))
-        self.cache.update((unit, self.cache[word] + self.cache[mark]) for unit, (word, mark) in parts.items())
+        """Ids of units that the cache lacks."""
+        self._learn_units(self._learn_words(missing) if self.words else self._learn_spaced(missing))
+
+    def _learn_spaced(self, missing: list[bytes]) -> list[bytes]:
+        """Ids of units that begin with a space and hold no other: joined as they are, cut by the bytes of their tokens; returns the others."""
+        groups = _joined(missing, b"", _SPACED, _ONLY_SPACED)
+        texts = [text.decode() for _, text in groups]
+        for (group, _), encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype="<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            at = np.searchsorted(ends, wanted)
+            if at[-1] != len(ends) - 1 or not np.array_equal(ends[at], wanted):
+                raise ValueError("a token reaches over a unit")
+            self.cache.update(zip(group, _parts(ids.tobytes(), (at + 1) * 4), strict=True))
+        return [unit for unit in missing if unit not in self.cache]
 
     def _learn_words(self, missing: list[bytes]) -> list[bytes]:
         """Ids of units that are one word of the tokenizer each: joined by spaces, cut after tokens that close a word; returns the others."""
-        plain = [unit for unit in missing if _ONE_WORD.fullmatch(unit) and b"<|" not in unit]
-        groups = [plain[i : i + JOIN_UNITS] for i in range(0, len(plain), JOIN_UNITS)]
-        texts = [b" ".join(group).decode() for group in groups]
-        for group, encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        groups = _joined(missing, b" ", _ONE_WORD, _ONLY_WORDS)
+        texts = [text.decode() for _, text in groups]
+        for (group, _), encoded in zip(groups, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, dtype="<u4")
             ends = (np.flatnonzero(self.closing[ids]) + 1) * 4
             if len(ends) != len(group):
                 raise ValueError("a unit holds more than one word")
-            raw = ids.tobytes()
-            ends = ends.tolist()
-            self.cache.update((unit, raw[b:e]) for unit, b, e in zip(group, [0, *ends], ends, strict=False))
+            self.cache.update(zip(group, _parts(ids.tobytes(), ends), strict=True))
         return [unit for unit in missing if unit not in self.cache]
 
     def _learn_units(self, missing: list[bytes]) -> None:
@@ -166,17 +276,80 @@ class Encoder:
             ends = [*(cuts * 4).tolist(), len(raw)]
             self.cache.update((unit, raw[b:e]) for unit, b, e in zip(group, begins, ends, strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of every text (null: none)."""
-        cut = [self.units(text) if text else [] for text in texts]
-        seen = set().union(*filter(None, cut))
-        missing = [unit for unit in seen if unit not in self.cache]
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units.  Of the units that the cache holds, those that later steps use outlive a change of generations."""
+        cache, older = self.cache, self.older
+        missing = [unit for unit in units if unit not in cache]
+        if older:
+            cache.update((unit, older[unit]) for unit in missing if unit in older)
+            missing = [unit for unit in missing if unit not in cache]
+        if len(cache) + len(missing) > self.cache_units // 2:
+            self.older, self.cache = cache, {unit: cache[unit] for unit in units if unit in cache}
         if missing:
-            if len(self.cache) + len(missing) > self.cache_units:  # what this step uses stays
-                self.cache = {unit: self.cache[unit] for unit in seen if unit in self.cache}
             self._learn(missing)
-        get = self.cache.__getitem__
-        return [self.whole(text) if units is None else b"".join(map(get, units)) for text, units in zip(texts, cut, strict=True)]
+        return list(map(self.cache.__getitem__, units))
+
+    def _encode_apart(self, text: str) -> np.ndarray:
+        units = self.units(text)
+        raw = self.whole(text) if units is None else b"".join(map(dict(zip(seen := list(set(units)), self._known(seen), strict=True)).__getitem__, units))
+        return np.frombuffer(raw, "<u4")
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column one after the other, and where each text's begin and the last one's end (null: none)."""
+        column = pc.fill_null(texts, "").cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+        local = offsets - offsets[0]
+        odd = (_ODD_WORDS if self.words else _ODD_BYTES)[raw]
+        odd[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C)
+        apart = np.unique(np.searchsorted(local, np.flatnonzero(odd), side="right") - 1)
+        del odd
+        if not len(apart):
+            return self._encode_raw(raw, local)
+        chosen = np.ones(len(column), bool)
+        chosen[apart] = False
+        sizes = np.diff(local)
+        ids, begins = self._encode_raw(raw[np.repeat(chosen, sizes)], np.append(0, np.cumsum(sizes * chosen)))
+        own = {int(i): self._encode_apart(raw[local[i] : local[i + 1]].tobytes().decode()) for i in apart}
+        counts = np.diff(begins)
+        counts[apart] = [len(own[int(i)]) for i in apart]
+        parts = [ids[: begins[apart[0]]]]
+        for i, after in zip(apart, [*apart[1:], len(column)], strict=True):
+            parts += [own[int(i)], ids[begins[i + 1] : begins[after]]]
+        return np.concatenate(parts), np.append(0, np.cumsum(counts))
+
+    def _encode_raw(self, raw: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode_column`` for the bytes of texts that begin and end at ``local``."""
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(len(local), np.int64)
+        begins = np.zeros(len(raw), bool)
+        begins[local[:-1][local[:-1] < len(raw)]] = True
+        lowered, kept, first = cut_words(raw, begins, self.words)
+        at = np.flatnonzero(first & kept)
+        unit_of = np.searchsorted(at, local)
+        if self.words:
+            lowered = lowered[kept]
+            at = np.flatnonzero(first[kept])
+        bounds = pa.py_buffer(np.append(at, len(lowered)).astype(np.int64))
+        units = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, bounds, pa.py_buffer(lowered)]).dictionary_encode()
+        distinct = units.dictionary
+        names = bytes(distinct.buffers()[2] or b"")
+        known = self._known(list(_parts(names, np.frombuffer(distinct.buffers()[1], np.int64)[1 : len(distinct) + 1])))
+        code = units.indices.to_numpy()
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+        pool = np.frombuffer(b"".join(known), "<u4")
+        counts = sizes[code]
+        ends = np.cumsum(counts)
+        shift = (np.cumsum(sizes) - sizes)[code] - (ends - counts)
+        ids = pool[np.arange(len(code) and int(ends[-1])) + np.repeat(shift, counts)]
+        return ids, np.append(0, ends)[unit_of]
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of every text (null: none)."""
+        ids, ends = self.encode_column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), (ends * 4).tolist()
+        return [raw[b:e] for b, e in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -189,5 +362,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def release_encoders() -> None:
+    """Let go of the encoders that the worker holds from a stage before, for stages that encode nothing."""
+    _ENCODERS.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def crc32(ids: bytes) -> int:
     return zlib.crc32(ids) & 0xFFFFFFFF
