@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.tokens import crc32, encoder, steps
+from claimweave.llm.tokens import ENCODE_BYTES, crc32, encoder, steps
 
 #: Rows between two entries of the row index, and bytes of a stripe.
 INDEX_ROWS = 1000
@@ -40,7 +40,7 @@ def write_tokens(
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
-        for batch in steps(batches):
+        for batch in steps(batches, limit=ENCODE_BYTES):
             found, ends = encoder(tokenizer).encode_column(batch.column("text"))
             if end_id is not None:
                 found, ends = np.insert(found, ends[1:], end_id), ends + np.arange(len(ends))

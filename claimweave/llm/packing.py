@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimweave.llm.tokens import crc32, encoder, steps
+from claimweave.llm.tokens import ENCODE_BYTES, crc32, encoder, steps
 from claimweave.session import materialize
 
 SEQUENCE_TOKENS = 2048
@@ -123,7 +123,7 @@ def cut_pieces(
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for batch in steps(batches):
+        for batch in steps(batches, limit=ENCODE_BYTES):
             rows: list[tuple] = []
             for doc_id, ids in zip(
                 batch.column("doc_id").to_pylist(), encoder(tokenizer).encode(batch.column("text").to_pylist()), strict=True

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from claimweave.llm.components import components
 from claimweave.llm.filters import KeyFilter
-from claimweave.llm.tokens import steps
+from claimweave.llm.tokens import release_encoders, steps
 from claimweave.llm.words import inside, mix, rolling_hashes, word_hashes, words
 from claimweave.session import materialize
 
@@ -127,6 +127,7 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
 
 def _sketch_rows(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in steps(batches, limit=SKETCH_BYTES):
             owner, shingle, weight, whole = weighted_shingles(batch.column("text"), size)
             signatures = both_signatures(owner, shingle, weight, batch.num_rows, bands * rows)
@@ -213,6 +214,7 @@ def near_duplicates(
     is_wanted = KeyFilter(wanted, F.col("id"), wanted.count())
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for whole_batch in batches:
             mask = pa.array(is_wanted.holds(whole_batch.column("doc_id").fill_null(0).to_numpy().view(np.uint64)))
             for batch in steps([whole_batch.filter(mask)], limit=SKETCH_BYTES):

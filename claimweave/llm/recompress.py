@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.filters import KeyFilter
-from claimweave.llm.tokens import steps
+from claimweave.llm.tokens import release_encoders, steps
 from claimweave.llm.words import Batch, covered, mix, rolling_hashes, word_hashes, words
 from claimweave.session import materialize
 
@@ -128,6 +128,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
     ``rows`` has ``_id``, ``_hash`` (both long; rows with equal values have equal texts) and ``text``.
     """
     def anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in steps(batches, limit=STEP_BYTES):
             found = words(batch.column("text"))
             parse = Parse(found, word_hashes(found), window)
@@ -140,6 +141,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW_WORDS, hot: int = HOT
     is_often = KeyFilter(shared.filter(F.col("n") > hot), F.col("key"), sizes[1])
 
     def candidates(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in steps(batches, limit=STEP_BYTES):
             found = words(batch.column("text"))
             hashes = word_hashes(found)
@@ -202,6 +204,7 @@ def remove_repeats(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["n_words bigint, n_removed bigint, kept_words string"])
 
     def remove(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in steps(batches, text_col, STEP_BYTES):
             found = words(batch.column(text_col))
             counts = np.diff(found.first)

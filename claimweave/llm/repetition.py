@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.tokens import steps
+from claimweave.llm.tokens import release_encoders, steps
 from claimweave.llm.words import covered, inside, span_hashes, sums, window_hashes, word_hashes, words
 
 # Fixed values of the base rules.
@@ -180,6 +180,7 @@ def quality(
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_COLUMNS])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_encoders()
         for batch in steps(batches, text_col, SORT_BYTES):
             found = measure(batch.column(text_col), repeat_words)
             columns = [batch.column(name) for name in others]

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimweave.llm.tokens import encoder, steps
+from claimweave.llm.tokens import ENCODE_BYTES, encoder, steps
 
 TOKEN_LIMIT = 1024
 
@@ -31,7 +31,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = TOKEN_LIMIT, id_c
             count = lambda texts: [len(x) for x in model.encode([t or "" for t in texts], num_threads=1)]
         else:
             count = lambda texts: [len(ids) >> 2 for ids in encoder(tokenizer).encode(texts)]
-        for batch in steps(batches):
+        for batch in steps(batches, limit=ENCODE_BYTES):
             counts = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())],

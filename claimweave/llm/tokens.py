@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import array
-import json
+import ctypes
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -13,11 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept per worker process (about 200 bytes each).
-CACHE_UNITS = 600_000
-#: Bytes of distinct units that are joined into one string for the library, and of texts in one step.
+CACHE_UNITS = 300_000
+#: Bytes of distinct units that are joined into one string for the library, of texts in one step, and of texts that are encoded at once.
 JOIN_BYTES = 4096
 JOIN_UNITS = 1024
 STEP_BYTES = 4 << 20
+ENCODE_BYTES = 1 << 20
 
 # White space of the tokenizers' pattern that is not ASCII, and ASCII controls that are, or that
 # other definitions count as white space.
@@ -181,10 +182,10 @@ class Encoder:
         self.library.no_padding()
         self.path, self.plain, self.single = path, plain, self.library
         self.cache_units = cache_units
-        spec = json.loads(self.library.to_str())
-        self.words = spec["normalizer"] is not None
-        special = [t for t in spec["added_tokens"] if t["special"] and not (t["lstrip"] or t["rstrip"] or t["normalized"])]
-        self.separator, self.separator_id = special[-1]["content"], special[-1]["id"]
+        self.words = self.library.normalizer is not None
+        added = self.library.get_added_tokens_decoder().items()
+        self.separator_id, separator = max((i, t) for i, t in added if t.special and not (t.lstrip or t.rstrip or t.normalized))
+        self.separator = separator.content
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for name, i in vocabulary.items() if name.endswith("</w>")]] = True
@@ -364,8 +365,11 @@ def encoder(path: str) -> Encoder:
 
 def release_encoders() -> None:
     """Let go of the encoders that the worker holds from a stage before, for stages that encode nothing."""
-    _ENCODERS.clear()
-    pa.default_memory_pool().release_unused()
+    if _ENCODERS:
+        _ENCODERS.clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # the C library keeps freed pages otherwise
+            trim(0)
 
 
 def crc32(ids: bytes) -> int:

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from claimweave.llm import tokens
+from claimweave.llm import recompress, tokens
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [
@@ -52,3 +52,17 @@ def test_latin_words_and_their_marks_are_units_of_their_own():
     spaced = tokens.Encoder(BYTES)
     spaced.encode(["x été... été!?"])
     assert " été".encode() in spaced.cache and " été...".encode() not in spaced.cache
+
+
+def test_stages_that_encode_nothing_let_go_of_encoders(spark, monkeypatch):
+    functions = []
+    docs = spark.createDataFrame([(i, "some words of a text " * 20) for i in range(3)], "doc_id bigint, text string")
+    plain = type(docs).mapInArrow
+    spy = lambda self, f, *a, **b: (functions.append(f), plain(self, f, *a, **b))[1]
+    monkeypatch.setattr(type(docs), "mapInArrow", spy)
+    recompress.remove_repeats(docs)
+    own = [f for f in functions if f.__name__ in ("anchors", "candidates", "remove")]
+    assert len(own) == 3
+    for function in own:
+        tokens.encoder(WORDS)
+        assert list(function(iter([]))) == [] and not tokens._ENCODERS
