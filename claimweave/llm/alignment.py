@@ -29,7 +29,7 @@ PIECE_ENDS = 1 << 15
 STEP_BYTES = 2 << 20
 #: Bytes of texts that are encoded at once, and units that the encoder of A keeps.
 ENCODE_BYTES = 1 << 19
-CACHE_UNITS = 120_000
+CACHE_UNITS = 240_000
 #: Bytes after which a text is cut at the next safe boundary.
 SEGMENT_BYTES = 1 << 20
 _RARE = r"\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
