@@ -24,10 +24,13 @@ ROWS = 5
 #: Of its 150 registers such a pair shares fewer than this part (five deviations less) with probability below 1e-6.
 SKETCH_LEAST = 0.635
 #: Candidates per bucket that are compared with the whole bucket in the first round, and growth per round.
-FIRST_HUBS = 4
-HUB_GROWTH = 32
-#: Members of a bucket that one task compares with its hubs.
+FIRST_HUBS = 64
+HUB_GROWTH = 64
+#: Members of a bucket that are compared with its hubs at once, and hubs that they are compared with at once.
 SALT_MEMBERS = 2_000
+PART_HUBS = 512
+#: Shingles that are looked up in those of a hub at once.
+LOOK_UP = 1 << 18
 #: Bytes of texts that are sketched together.
 SKETCH_BYTES = 1 << 20
 
@@ -125,6 +128,42 @@ def similarity(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) ->
     return float((1.0 / (sum_a / x + sum_b / y)).sum()), plain
 
 
+class Sets:
+    """Weighted shingles of several texts, compared with those of one text at once."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.sets = sets
+        self.sizes = np.array([len(shingles) for shingles, _ in sets], np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.shingles = np.concatenate([shingles for shingles, _ in sets])
+        self.weights = np.concatenate([weights for _, weights in sets])
+        self.totals = np.array([weights.sum() for _, weights in sets])
+
+    def alike(self, shingles: np.ndarray, weights: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+        """Whether the larger ``similarity`` of each of these rows to the text is ``least`` or more."""
+        found = np.zeros(len(rows), bool)
+        total = weights.sum()
+        cuts = np.flatnonzero(np.diff(np.cumsum(self.sizes[rows]) // LOOK_UP)) + 1
+        for part in np.split(np.arange(len(rows)), cuts):
+            chosen = rows[part]
+            sizes = self.sizes[chosen]
+            owner = np.repeat(np.arange(len(chosen)), sizes)
+            at = np.arange(len(owner)) + np.repeat(self.first[chosen] - np.cumsum(sizes) + sizes, sizes)
+            place = np.minimum(np.searchsorted(shingles, self.shingles[at]), len(shingles) - 1)
+            hit = shingles[place] == self.shingles[at]
+            owner, at, place = owner[hit], at[hit], place[hit]
+            common = np.bincount(owner, minlength=len(chosen))
+            alike = common / (len(shingles) + sizes - common) >= least
+            # The probability Jaccard is at most the sum of the smaller shares of the weights; without repeats it is the other one.
+            shares = np.minimum(weights[place] / total, self.weights[at] / self.totals[chosen][owner])
+            most = np.bincount(owner, shares, minlength=len(chosen))
+            repeats = (total > len(shingles)) | (self.totals[chosen] > sizes)
+            for i in np.flatnonzero(~alike & repeats & (most >= least - 1e-6)):
+                alike[i] = max(similarity(shingles, weights, *self.sets[chosen[i]])) >= least
+            found[part] = alike
+        return found
+
+
 def _sketch_rows(size: int, bands: int, rows: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_encoders()
@@ -189,12 +228,12 @@ def near_duplicates(
     schema = "doc_id bigint, t1 bigint, t2 bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
     sketched = texts.select("doc_id", *text_keys(F.col("text")), "text").mapInArrow(_sketch_rows(size, bands, rows), schema)
     sketched = materialize(sketched.withColumn("row", F.monotonically_increasing_id()), "sketches")
-    spoken = F.size("bands") > 0
-    nodes = materialize(sketched.filter(spoken).groupBy("k1", "k2").agg(F.min("row").alias("node")), "nodes")
+    spoken, count = F.size("bands") > 0, sketched.count()
+    nodes = materialize(sketched.filter(spoken).groupBy("k1", "k2").agg(F.min("row").alias("node")), "nodes", count)
     placed = sketched.filter(spoken).join(nodes, ["k1", "k2"])
     # One row per node, stored: three later steps read its bands.
     first = placed.filter(F.col("row") == F.col("node")).select("node", "doc_id", "k1", "k2", "bands", "sketch")
-    first = materialize(first, "first")
+    first = materialize(first, "first", count)
     buckets = first.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     # Buckets of equal members are one bucket.
     half = F.lit(0xFFFFFFFF)
@@ -206,8 +245,8 @@ def near_duplicates(
         F.sum(F.xxhash64(F.lit(1), "node").bitwiseAND(half)).alias("d"),
     ]
     several = buckets.groupBy("bucket").agg(*content).filter("a <> b")
-    full = materialize(several.groupBy("n", "a", "b", "c", "d").agg(F.min("bucket").alias("bucket")).select("bucket"), "full-buckets")
-    members = materialize(buckets.join(full, "bucket", "left_semi").distinct(), "members")
+    full = materialize(several.groupBy("n", "a", "b", "c", "d").agg(F.min("bucket").alias("bucket")).select("bucket"), "full-buckets", 2 * bands * count)
+    members = materialize(buckets.join(full, "bucket", "left_semi"), "members")
 
     wanted = first.select("node", "doc_id").join(members.select("node").distinct(), "node")
     wanted = materialize(wanted.select(F.coalesce("doc_id", F.lit(0)).cast("bigint").alias("id")), "candidates")
@@ -243,10 +282,10 @@ def near_duplicates(
         named = named.withColumnRenamed("node", "class_key")
     else:
         named = named.join(classes, "node", "left").select("doc_id", "t1", "t2", F.coalesce("label", "node").alias("class_key"))
-    named = materialize(named, "named")
+    named = materialize(named, "named", count)
     unnamed = -1 - F.col("class_key")
     grouped = named.groupBy("class_key").agg(F.count(F.lit(1)).alias("class_size"), F.min("doc_id").alias("least"))
-    grouped = materialize(grouped.select("class_key", F.coalesce("least", unnamed).alias("class_id"), "class_size"), "class-sizes")
+    grouped = materialize(grouped.select("class_key", F.coalesce("least", unnamed).alias("class_id"), "class_size"), "class-sizes", count)
     silent = sketched.filter(~spoken).withColumnRenamed("row", "class_key")
     silent = silent.withColumn("class_id", F.coalesce("doc_id", unnamed)).withColumn("class_size", F.lit(1).cast("bigint"))
     columns = ["doc_id", "class_id", "class_size", "class_key", "t1", "t2"]
@@ -266,18 +305,26 @@ def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int
         return np.frombuffer(packed, "<u4", size), np.frombuffer(packed, "<f2", size, 4 * size).astype(float)
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links within buckets; rows come sorted by bucket and salt, hubs before members.
+        """Links within buckets; rows come sorted by bucket, salt, kind and node.
 
-        Sketches are compared first, then all shingles.  A member that is linked to a class needs no other
-        link to it.
+        Kinds: 0 a hub, 1 a hub that is a member here as well, 2 a member that is a hub elsewhere, 3 any other member.
+        Sketches are compared first, then all shingles.  Classes that a link of this group has joined are one from
+        then on and need no other link.
         """
         group: tuple | None = None
         hubs: list[tuple] = []
+        into: dict[int, int] = {}
+
+        def find(label: int) -> int:
+            while label in into:
+                label = into[label]
+            return label
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)])
-            change = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            change = np.flatnonzero(np.append(True, (keys[:2, 1:] != keys[:2, :-1]).any(axis=0)))
             nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
             sketches_here, sets_here = batch.column("sketch").to_pylist(), batch.column("shingles").to_pylist()
             lists = batch.column("buckets")
@@ -285,63 +332,80 @@ def _classes(members: DataFrame, stored: DataFrame, least: float, registers: int
             found: list[tuple[int, int]] = []
             for begin, end in zip(change, [*change[1:], batch.num_rows], strict=True):
                 if group != (keys[0, begin], keys[1, begin]):
-                    group, hubs = (keys[0, begin], keys[1, begin]), []
-                if keys[2, begin] == 0:
-                    hubs += [
-                        (nodes[i], labels[i], np.frombuffer(sketches_here[i], np.uint8).reshape(2, registers), table[i].copy(), unpack(sets_here[i]))
-                        for i in range(begin, end)
-                    ]
+                    group, hubs, into = (keys[0, begin], keys[1, begin]), [], {}
+                middle, first = begin + np.searchsorted(keys[2, begin:end], [2, 1])
+                hubs += [
+                    (nodes[i], int(labels[i]), np.frombuffer(sketches_here[i], np.uint8).reshape(2, registers, 1), table[i].copy(), unpack(sets_here[i]))
+                    for i in range(begin, middle)
+                ]
+                begin = first
+                if begin == end:
                     continue
                 own = np.frombuffer(b"".join(sketches_here[begin:end]), np.uint8).reshape(-1, 2, registers)
-                joined: set[tuple[int, int]] = set()
+                own = np.ascontiguousarray(own.transpose(1, 2, 0))
+                mine, my_table = nodes[begin:end], table[begin:end]
+                # Of two hubs only the smaller is compared with the other as a member; that one does not come later.
+                above = np.where(keys[2, begin:end] < 3, mine, np.iinfo(np.int64).max)
+                label = np.array([find(x) for x in labels[begin:end].tolist()], np.int64)
+                shingles = Sets([unpack(packed) for packed in sets_here[begin:end]])
                 for hub, hub_label, hub_sketch, hub_buckets, hub_set in hubs:
-                    alike = ((own == hub_sketch).sum(axis=2) >= SKETCH_LEAST * registers).any(axis=1)
-                    rows = np.flatnonzero(alike & (labels[begin:end] != hub_label)) + begin
-                    rows = rows[hub_buckets[(table[rows] == hub_buckets).argmax(axis=1)] == group[0]]
-                    for i in rows:
-                        if (i, hub_label) not in joined and max(similarity(*hub_set, *unpack(sets_here[i]))) >= least:
-                            joined.add((i, hub_label))
-                            found.append((min(hub, nodes[i]), max(hub, nodes[i])))
+                    hub_label = find(hub_label)
+                    open_rows = (label != hub_label) & (above > hub)
+                    if not open_rows.any():
+                        continue
+                    equal = (own == hub_sketch).view(np.uint8).sum(axis=1, dtype=np.min_scalar_type(registers))
+                    rows = np.flatnonzero((equal >= SKETCH_LEAST * registers).any(axis=0) & open_rows)
+                    rows = rows[hub_buckets[(my_table[rows] == hub_buckets).argmax(axis=1)] == group[0]]
+                    linked = rows[shingles.alike(*hub_set, rows, least)]
+                    if len(linked):
+                        joined, one = np.unique(label[linked], return_index=True)
+                        found += [(min(hub, mine[i]), max(hub, mine[i])) for i in linked[one]]
+                        into.update((int(x), hub_label) for x in joined)
+                        label[np.isin(label, joined)] = hub_label
             if found:
                 a, b = np.array(found, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    links, open_members, hubs = None, members, FIRST_HUBS
+    links, open_members, hubs, count = None, members, FIRST_HUBS, members.count()
     labels = None
     while True:
         if labels is None:
             labeled = open_members.withColumn("label", F.col("node"))
         else:
             labeled = open_members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        groups = labeled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        active = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("labels")).filter("labels > 1").drop("labels")
-        labeled = materialize(labeled.join(active, "bucket", "left_semi"), "labeled")
+        active = labeled.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("label").alias("a"), F.max("label").alias("b"))
+        labeled = materialize(labeled.join(active.filter("a <> b").select("bucket", "members"), "bucket"), "labeled", count)
         sized = labeled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy("n", F.xxhash64("node"), "node"))
         chosen = labeled.join(sized, ["bucket", "label"]).withColumn("rank", rank).filter(F.col("rank") <= hubs)
-        chosen = materialize(chosen.select("bucket", "node", "label"), "hubs")
+        chosen = materialize(chosen.select("bucket", "node", "label", "members", "rank"), "hubs", count)
         if chosen.isEmpty():
             return labels
-        # A large bucket is dealt over salts, each of which gets all hubs.
-        total = labeled.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("salts"))
-        spread = chosen.join(total, "bucket").select(
-            "bucket", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "label"
+        dealt = materialize(labeled.join(chosen.select("bucket", "node", "rank"), ["bucket", "node"], "left"), "dealt", count)
+        # A large bucket is dealt over tiles: salts of its members by parts of its hubs.
+        salts = F.ceil(F.col("members") / SALT_MEMBERS).cast("int")
+        parts = F.ceil(F.least("members", F.lit(hubs)) / PART_HUBS).cast("int")
+        single = (salts == 1) & (parts == 1)
+        own_salt, own_part = F.pmod(F.xxhash64("node"), salts), F.pmod(F.col("rank"), parts)
+        kind = F.when(F.col("rank").isNull(), 3).when(single, 1).otherwise(2).alias("kind")
+        as_member = dealt.select("bucket", "node", "label", kind, own_salt.alias("salt"), parts.alias("parts"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        as_hub = chosen.filter(~single).select(
+            "bucket", "node", "label", F.lit(0).alias("kind"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), parts.alias("parts"), own_part.alias("part")
         )
-        salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-        dealt = labeled.join(total, "bucket").select("bucket", salt.alias("salt"), F.lit(1).alias("kind"), "node", "label")
+        tile = (F.col("salt") * F.col("parts") + F.col("part")).cast("int").alias("salt")
         compared = (
-            spread.unionByName(dealt)
+            as_hub.unionByName(as_member)
+            .select("bucket", tile, "kind", "node", "label")
             .join(stored, "node")
             .select("bucket", "salt", "kind", "node", "label", "sketch", "buckets", "shingles")
             .repartition("bucket", "salt")
-            .sortWithinPartitions("bucket", "salt", "kind")
+            .sortWithinPartitions("bucket", "salt", "kind", "node")
         )
-        verified = materialize(compared.mapInArrow(compare, "a bigint, b bigint").distinct(), "verified")
+        verified = materialize(compared.mapInArrow(compare, "a bigint, b bigint"), "verified")
         if not verified.isEmpty():
             links = verified if links is None else links.unionByName(verified)
-            labels = materialize(components(links, "a", "b"), "labels")
-        served = chosen.select("bucket", "node")
-        open_members = materialize(labeled.select("bucket", "node").join(served, ["bucket", "node"], "left_anti"), "open-members")
+            labels = materialize(components(links, "a", "b"), "labels", links.count())
+        open_members = dealt.filter(F.col("rank").isNull()).select("bucket", "node")
         hubs *= HUB_GROWTH
 
 

@@ -242,6 +242,40 @@ def test_near_duplicate_links_match_brute_force(spark):
     assert got == dict(enumerate(label))
 
 
+def test_sets_are_compared_at_once_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(probminhash, "LOOK_UP", 500)  # several parts
+    rng = np.random.default_rng(5)
+    sets = []
+    for copy in range(60):
+        shingles = np.unique(np.append(rng.choice(120, 100, replace=False), [200 + copy] * (copy % 3))).astype("<u4")
+        weights = np.where(rng.random(len(shingles)) < 0.1 * (copy % 2), 1 + np.log(rng.integers(2, 60)), 1.0)
+        sets.append((shingles, weights.astype("<f2").astype(float)))
+    at_once, rows = probminhash.Sets(sets), np.arange(0, 60)
+    for least in (0.5, 0.7, 0.72, 0.8):
+        for one in sets:
+            expected = [max(probminhash.similarity(*one, *other)) >= least for other in sets]
+            assert at_once.alike(*one, rows, least).tolist() == expected
+    assert at_once.alike(*sets[0], rows[:0], 0.8).tolist() == []
+
+
+def test_buckets_are_compared_in_tiles(spark, monkeypatch):
+    for name, value in {"SALT_MEMBERS": 7, "PART_HUBS": 3, "FIRST_HUBS": 2}.items():
+        monkeypatch.setattr(probminhash, name, value)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"z{copy}x{i}" if i in rng.choice(200, copy % 12, replace=False) else word for i, word in enumerate(base)) for copy in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    owner, shingle, weight, _ = probminhash.weighted_shingles(pa.array(texts), probminhash.SHINGLE_WORDS)
+    sets = [(shingle[a:b], weight[a:b]) for a, b in itertools.pairwise(np.searchsorted(owner, np.arange(len(texts) + 1)))]
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if max(probminhash.similarity(*sets[i], *sets[j])) >= probminhash.SIMILARITY:
+            old, new = max(label[i], label[j]), min(label[i], label[j])
+            label = [new if x == old else x for x in label]
+    assert 1 < len(set(label)) < 80
+    assert {r["doc_id"]: r["class_id"] for r in probminhash.near_duplicates(rows).collect()} == dict(enumerate(label))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (95, 90), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in components(links, "a", "b").collect()}
