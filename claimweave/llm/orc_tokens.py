@@ -14,6 +14,8 @@ from claimweave.llm.tokens import ENCODE_BYTES, crc32, encoder, steps
 #: Rows between two entries of the row index, and bytes of a stripe.
 INDEX_ROWS = 1000
 STRIPE_BYTES = 16 << 20
+#: Units that the encoder keeps; nothing else holds memory while files are written.
+CACHE_UNITS = 600_000
 
 _SCHEMA = "doc_id bigint, n_tokens bigint, before bigint, ids array<int>"
 
@@ -40,8 +42,9 @@ def write_tokens(
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
+        tokens = encoder(tokenizer, CACHE_UNITS)
         for batch in steps(batches, limit=ENCODE_BYTES):
-            found, ends = encoder(tokenizer).encode_column(batch.column("text"))
+            found, ends = tokens.encode_column(batch.column("text"))
             if end_id is not None:
                 found, ends = np.insert(found, ends[1:], end_id), ends + np.arange(len(ends))
             lengths = np.diff(ends)

@@ -356,10 +356,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and tokenizer file."""
+def encoder(path: str, cache_units: int = CACHE_UNITS) -> Encoder:
+    """One encoder per worker process and tokenizer file; it keeps as many units as its latest caller wants."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, cache_units=cache_units)
+    _ENCODERS[path].cache_units = cache_units
     return _ENCODERS[path]
 
 

@@ -66,3 +66,16 @@ def test_stages_that_encode_nothing_let_go_of_encoders(spark, monkeypatch):
     for function in own:
         tokens.encoder(WORDS)
         assert list(function(iter([]))) == [] and not tokens._ENCODERS
+
+
+def test_an_encoder_keeps_the_units_its_caller_wants():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    few = tokens.encoder(path, 8)
+    texts = [" ".join(f"word{chr(97 + i)}{chr(97 + j)}" for j in range(9)) for i in range(9)]
+    small = [few.encode([text])[0] for text in texts]
+    assert len(few.cache) + len(few.older) < 30
+    many = tokens.encoder(path, 1000)
+    assert many is few and many.encode(texts) == small
+    assert len(many.cache) + len(many.older) > 80
+    assert tokens.encoder(path).cache_units == tokens.CACHE_UNITS
+    tokens.release_encoders()
