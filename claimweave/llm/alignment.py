@@ -9,6 +9,7 @@ them, and emits its overlaps.  Groups that cross pieces are stitched in the last
 
 from __future__ import annotations
 
+import array
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -108,7 +109,7 @@ class PairEncoder:
         found = []
         for segment, begins, a_raw, b_ids in zip(flat, first, a, b, strict=True):
             a_ids = np.frombuffer(a_raw, "<u4")
-            ids = np.array(b_ids if begins else b_ids[1:], "<u4")
+            ids = np.frombuffer(array.array("I", b_ids), np.uint32)[not begins :]
             raw = np.frombuffer(segment.encode(), np.uint8)
             a_lens, b_lens = self.a_spelled.sizes(a_ids, raw), self.b_spelled.sizes(ids, raw)
             found.append(None if a_lens is None or b_lens is None else Tokens(a_ids, a_lens, ids, b_lens))
@@ -174,22 +175,24 @@ class Piece(NamedTuple):
     b_ids: np.ndarray
     b_ends: np.ndarray
 
-    def overlaps(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A index, B index and end of every overlap that ends in this piece."""
+    def overlaps(self, shared: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A index, B index and end of every overlap that ends in this piece, by what ``shared`` gave."""
         a, b = self.a_ends[: self.n_a], self.b_ends[: self.n_b]
         of_a = np.searchsorted(self.b_ends, a)
-        own = ~self.shared()
-        of_b = np.searchsorted(self.a_ends, b[own])
-        at_a = np.concatenate([np.arange(self.n_a), of_b])
-        at_b = np.concatenate([of_a, np.flatnonzero(own)])
+        own = np.flatnonzero(~shared)
+        at_a = np.concatenate([np.arange(self.n_a), places[own]])
+        at_b = np.concatenate([of_a, own])
         return at_a, at_b, np.concatenate([a, b[own]])
 
-    def shared(self) -> np.ndarray:
-        """Which of the B ends of the piece are A ends too; A's may be the last end of the piece before."""
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the B ends of the piece are A ends too, and how many A ends of the piece lie before each.
+
+        A's may be the last end of the piece before.
+        """
         b = self.b_ends[: self.n_b]
         at = np.searchsorted(self.a_ends[: self.n_a], b)
         known = np.append(self.a_ends[: self.n_a], -1)
-        return (known[np.minimum(at, self.n_a)] == b) | (b == self.a_start)
+        return (known[at] == b) | (b == self.a_start), at
 
 
 def pieces(a_ids: np.ndarray, a_lens: np.ndarray, b_ids: np.ndarray, b_lens: np.ndarray, base: int, size: int) -> Iterator[Piece]:
@@ -328,9 +331,9 @@ def encode_pieces(docs: DataFrame, a_path: str, b_path: str, piece_ends: int = P
     return docs.mapInArrow(encode, _PIECE_SCHEMA)
 
 
-def _codes(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
+def _codes(piece: Piece, shared: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pair of every overlap of a piece as one integer, and where the overlap ends."""
-    at_a, at_b, ends = piece.overlaps()
+    at_a, at_b, ends = piece.overlaps(shared, places)
     return (piece.a_ids[at_a] << 32) | piece.b_ids[at_b], ends
 
 
@@ -352,7 +355,8 @@ def count_links(stored: DataFrame, sizes: Sizes) -> DataFrame:
                 if row["step"] != step:
                     yield from summed()
                     step, held = row["step"], []
-                held.append(np.unique(_codes(sizes.load(row))[0], return_counts=True))
+                piece = sizes.load(row)
+                held.append(np.unique(_codes(piece, *piece.shared())[0], return_counts=True))
         yield from summed()
 
     columns = [c for c in stored.columns if c != "docs"]
@@ -368,9 +372,9 @@ class _Groups:
         self.a = np.zeros(0, np.int64)
         self.b = np.zeros(0, np.int64)
 
-    def add(self, piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def add(self, piece: Piece, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of the groups that the piece closes, in writing order, their separators and the end of each group's text."""
-        shared = np.flatnonzero(piece.shared())
+        shared = np.flatnonzero(shared)
         a = np.concatenate([self.a, piece.a_ids[: piece.n_a]])
         b = np.concatenate([self.b, piece.b_ids[: piece.n_b]])
         ends = piece.b_ends[shared]
@@ -391,14 +395,14 @@ class _Groups:
         return ids * 3 + marks, last_a + last_b, ends
 
 
-_NAMES: list[bytes] = []
+_NAMES: list[pa.Array] = []
 
 
-def _names(most: int) -> list[bytes]:
+def _names(most: int) -> pa.Array:
     """Ids with the separator after them, by ``_Groups`` codes; one entry per id and separator of the vocabularies."""
-    if len(_NAMES) <= most:
-        _NAMES.extend(b"%d%s" % (code // 3, _Groups._SEPARATORS[code % 3]) for code in range(len(_NAMES), 2 * most + 1))
-    return _NAMES
+    if not _NAMES or len(_NAMES[0]) <= most:
+        _NAMES[:] = [pa.array([b"%d%s" % (code // 3, _Groups._SEPARATORS[code % 3]) for code in range(2 * most + 1)], pa.binary())]
+    return _NAMES[0]
 
 
 def _score_step(sizes: Sizes, stored: pa.Table, scored: pa.Table) -> pa.Table:
@@ -420,36 +424,32 @@ def _score_step(sizes: Sizes, stored: pa.Table, scored: pa.Table) -> pa.Table:
     digests = {}
     groups = _Groups()
 
-    def add(name: str, ends: np.ndarray, values: np.ndarray | None = None) -> None:
-        at = full[np.searchsorted(full_ends, ends)]
-        if values is None:
-            totals[name] += np.bincount(at, minlength=n)
-        else:
-            np.add.at(totals[name], at, values)
-
     for row in rows[1:]:
         piece = sizes.load(row)
-        pairs, ends = _codes(piece)
-        at = np.searchsorted(table, pairs)
-        add("n_links", ends)
-        add("n_best", ends, best[at])
-        add("count_sum", ends, counts[at])
-        codes, text_ends, group_ends = groups.add(piece)
-        add("n_groups", group_ends)
+        shared, places = piece.shared()
+        pairs, ends = _codes(piece, shared, places)
+        at, owner = np.searchsorted(table, pairs), full[np.searchsorted(full_ends, ends)]
+        totals["n_links"] += np.bincount(owner, minlength=n)
+        totals["n_best"] += np.bincount(owner[best[at]], minlength=n)
+        np.add.at(totals["count_sum"], owner, counts[at])
+        codes, text_ends, group_ends = groups.add(piece, shared)
+        owners = full[np.searchsorted(full_ends, group_ends)]
+        totals["n_groups"] += np.bincount(owners, minlength=n)
         if not len(group_ends):
             continue
-        written = list(map(_names(int(codes.max())).__getitem__, codes.tolist()))
-        owners = full[np.searchsorted(full_ends, group_ends)]
+        written = _names(int(codes.max())).take(pa.array(codes))
+        text, text_ends = memoryview(written.buffers()[2]), np.frombuffer(written.buffers()[1], np.int32)[text_ends]
         last = np.flatnonzero(np.append(owners[1:] != owners[:-1], True))
         begin = 0
         for owner, end in zip(owners[last].tolist(), text_ends[last].tolist(), strict=True):
-            part = b"".join(written[begin:end])
+            part = text[begin:end]
             begin = end
             # The text of a document ends without the separator of its last group.
             sha, open_ = digests.get(owner, (None, b""))
             sha = sha or hashlib.sha256()
-            sha.update(open_ + part[:-1])
-            digests[owner] = (sha, part[-1:])
+            sha.update(open_)
+            sha.update(part[:-1])
+            digests[owner] = (sha, bytes(part[-1:]))
 
     has = np.array([d["n_bytes"] > 0 for d in docs])
     shas = [digests[i][0].hexdigest() if has[i] else "" for i in range(n)]

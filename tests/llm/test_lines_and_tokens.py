@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -159,3 +160,22 @@ def test_merge_path_pieces_are_equal_and_complete():
     merged = sorted([(e, 0) for e in ends_a] + [(e, 1) for e in ends_b])
     diagonals = np.arange(len(merged) + 1)
     assert alignment.crossings(ends_a, ends_b, diagonals).tolist() == [0, *np.cumsum([side == 0 for _, side in merged])]
+
+
+def test_overlaps_follow_from_one_search_and_names_are_gathered_at_once():
+    rng = np.random.default_rng(3)
+    a_lens, b_lens = (rng.multinomial(1300 - n, np.ones(n) / n) + 1 for n in (300, 400))  # both cover 1300 bytes
+    ends_a, ends_b = np.cumsum(a_lens), np.cumsum(b_lens)
+    expected = {(i, j) for i in range(300) for j in range(400) if max(ends_a[i] - a_lens[i], ends_b[j] - b_lens[j]) < min(ends_a[i], ends_b[j])}
+    found, shared = set(), 0
+    for piece in alignment.pieces(np.arange(300), a_lens, np.arange(400), b_lens, 0, 64):
+        ends = piece.shared()
+        shared += int(ends[0].sum())
+        at_a, at_b, _ = piece.overlaps(*ends)
+        pairs = list(zip(piece.a_ids[at_a].tolist(), piece.b_ids[at_b].tolist(), strict=True))
+        assert not found & set(pairs) and len(set(pairs)) == len(pairs)
+        found |= set(pairs)
+    assert found == expected
+    assert shared == len(np.intersect1d(ends_a, ends_b))
+    codes = np.array([0, 1, 2, 5, 3 * 1234 + 1, 3 * 9])
+    assert b"".join(alignment._names(int(codes.max())).take(pa.array(codes)).to_pylist()) == b"0,0|0;1;1234|9,"
