@@ -325,10 +325,25 @@ ITEM_COLUMNS = [
     "fingerprint",
 ]
 
+#: Those that decisions read.
+DECISION_COLUMNS = [
+    "user_id",
+    "event_id",
+    "event_type",
+    "k",
+    "finding_id",
+    "tier",
+    "reason_code",
+    "allowed_actions",
+    "priority_score",
+    "estimated_review_seconds",
+    "fingerprint",
+]
+
 
-def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_items(spark: SparkSession, sf_dir: str, columns: list[str] = ITEM_COLUMNS) -> DataFrame:
     """Classified event findings with duplicates consolidated; the plan is the user."""
-    classified = materialize(classified_events(table(spark, sf_dir, "events")), "classified")
+    classified = materialize(classified_events(table(spark, sf_dir, "events")).select(*columns), "classified")
     return consolidate(classified, ["user_id", "fingerprint"])
 
 

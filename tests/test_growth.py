@@ -1,18 +1,21 @@
 """Steps whose tasks, shuffles or keys must not grow faster than the input."""
 
 import hashlib
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from claimweave.llm import curriculum
 from claimweave.llm.queries import QUERIES as CORPUS
-from claimweave.operators import mapping
+from claimweave.operators import decisions, mapping
+from claimweave.operators.automation import DISMISS
+from claimweave.operators.decisions import admit, admitted
 from claimweave.operators.ontology import Ontology, checked_relations
 from claimweave.operators.packets import altered_rows
 from claimweave.operators.profile import profile
-from claimweave.plans import QUERIES, ingest
-from claimweave.session import materialize
+from claimweave.plans import QUERIES, accounting, bindings, ingest, workflow
+from claimweave.session import cut_lineage, materialize
 from claimweave.sources.inventory import IngestPolicy, content_digests, inventory
 from claimweave.streaming.jobs import DecisionLog
 
@@ -159,3 +162,61 @@ def test_refused_files_are_listed_and_not_read(spark, tmp_path, monkeypatch):
         ("small.csv", 1, hashlib.sha256(b"x").hexdigest()),
         ("large.csv", 100, None),
     }
+
+
+def test_admission_filters_each_side_before_the_joins(spark):
+    rng = random.Random(1)
+    odd = lambda usual, *others: rng.choice(others) if rng.random() < 0.12 else usual
+    both = ["route_to_coding", DISMISS]
+    packets = [
+        (f"P{i}", odd(True, False, None), odd(True, None), "t", odd("w", None), odd("t", None), odd("w", "v"), "h", odd("h", "x"), "p", odd(False, True, None), odd(both, [DISMISS], [], None))
+        for i in range(60)
+    ]
+    items = [
+        (f"P{i % 60}", f"f{i % 180}", odd("escalated", "suppressed", None), odd(True, False, None), odd(both, [DISMISS], [], None), "h", odd("h", "x", None))
+        for i in range(200)
+    ]
+    requests = [
+        (i, odd(f"P{i % 60}", "P?", None), odd(f"f{i % 180}", "f?", None), odd("route_to_coding", DISMISS, None), odd("evidence_confirmed", "duplicate", "bogus", None),
+         odd("ok", "", " \t", None, " " * 2000 + "ok", "x" * 1001, " " + "x" * 1000), odd(["admin"], ["coder", None], ["read_only"], [], None),
+         odd("t", None), odd("w", "v", None), odd("k", " ", "k" * 129, " " * 200 + "k" * 128, None))
+        for i in range(3000)
+    ]
+    sides = (
+        spark.createDataFrame(requests, "sequence bigint, packet_id string, finding_id string, action string, reason_code string, reason string, actor_roles array<string>, tenant_id string, workspace_id string, idempotency_key string"),
+        spark.createDataFrame(packets, "packet_id string, packet_intact boolean, plan_intact boolean, packet_tenant string, packet_workspace string, plan_tenant string, plan_workspace string, plan_packet_hash string, packet_hash string, plan_hash string, claim_mutation_allowed boolean, permitted_actions array<string>"),
+        spark.createDataFrame(items, "packet_id string, finding_id string, tier string, selected boolean, allowed_actions array<string>, item_finding_hash string, packet_finding_hash string"),
+    )
+    passed, checked = admitted(*sides), admit(*sides)
+    want = checked.filter("reject_reason is null").drop("reject_reason")
+    count = want.count()
+    assert count > 100 and passed.count() == count and passed.exceptAll(want.select(*passed.columns)).isEmpty()
+    assert {r[0] for r in checked.select("reject_reason").distinct().collect()} >= {None, "reason_text", "idempotency_key", "role", "not_selected"}
+    # The joins are inner, each side's own checks lie below them.
+    plan = passed._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and plan.count("Join Inner") == 2
+
+
+def test_decisions_store_what_they_read(spark, monkeypatch):
+    stored = {}
+
+    def spy(df, name, rows=None):
+        stored.setdefault(name, df.columns)
+        return materialize(df, name, rows)
+
+    for module in (bindings, workflow, accounting):
+        monkeypatch.setattr(module, "materialize", spy)
+    QUERIES["decisions_second_batch"](spark, SF)
+    assert not {"title", "case_id", "queue"} & {column for columns in stored.values() for column in columns}
+    assert list(stored) == ["classified", "items", "admitted", "first-batch"] and "permitted_actions" not in stored["admitted"]
+
+
+def test_a_round_of_decisions_has_one_join(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(decisions, "cut_lineage", lambda df: rounds.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut_lineage(df))
+    rows = [(i, "t", "w", "P", f"f{i % 7}", f"k{i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "sequence bigint, tenant_id string, workspace_id string, packet_id string, finding_id string, idempotency_key string")
+    got = {r.sequence: r.status for r in decisions.resolve(df.withColumns({name: F.lit("same") for name in decisions.REQUEST_FIELDS if name not in df.columns})).collect()}
+    assert {s for s, status in got.items() if status == "accepted"} == {0, 1, 2, 3, 4}
+    # Winners come from the first requests of keys and findings, not from joins of all requests with them.
+    assert rounds[0].count("Join") == 1
